@@ -98,3 +98,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def ranged(df: DataFrame, key: str, size: Column, most: int) -> tuple[DataFrame, int]:
+    """df with pid: its range of key (long; null in the lowest), cut where about ``most`` of size lie in each; and the
+    number of ranges. Cuts are quantiles over all rows, so the ranges are the same each time."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    n = total // most + 1
+    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
+    if not cuts:
+        return df.withColumn("pid", F.lit(0)), 1
+    bound = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # folded to a literal
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])  # binary search
+    pid = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & F.coalesce(F.get(bound, p + s - 1) < F.col(key), F.lit(False)), p + s).otherwise(p))
+    return df.withColumn("pid", pid), len(cuts) + 1

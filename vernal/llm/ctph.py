@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import as_bytes, whole_text, written
+from vernal.llm.common import as_bytes, ranged, whole_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CODE = np.frombuffer(LETTERS.encode(), dtype=np.uint8)
@@ -168,16 +168,7 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text) to rows in ranges (pid) that hold, after their own documents in descending doc_id, a
     copy of the document that follows (tail = 1). Ties by text hash, null ids last, the first after the last."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text")).withColumn("h", F.xxhash64("text"))
-    size = d.select("doc_id", F.octet_length("text").alias("b")).agg(F.sum("b"), F.count("*")).first()
-    n = max(1, (size[0] or 0) // range_bytes + 1)
-    cuts = sorted(set(d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
-    if cuts:
-        bound = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-        pid = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & F.coalesce(F.get(bound, p + s - 1) < F.col("doc_id"), F.lit(False)), p + s).otherwise(p))
-    else:
-        pid = F.lit(0)
-    d = d.withColumn("pid", pid)
+    d, n = ranged(d, "doc_id", F.octet_length("text"), range_bytes)
     heads = [r.asDict() for r in d.groupBy("pid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), (-F.col("doc_id")).alias("neg"), "h")).alias("f")).select("pid", "f.no", "f.neg", "f.h").collect()]  # a row for each range
     heads.sort(key=lambda r: -r["pid"])
     spark = docs.sparkSession
