@@ -55,38 +55,66 @@ class Tokens:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            i, n = len(self.index), len(e.ids)
-            if i >= len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * i), np.resize(self.size, 2 * i)
-            while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + n] = e.ids
-            self.start[i], self.size[i] = self.used, n
-            self.used += n
-            self.index[w] = i
+        """Ids of new words, encoded as one text (a space between two words ends the first)."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, dtype=np.uint32), np.array(e.word_ids, dtype=np.int64)
+        size = np.bincount(of, minlength=len(words))
+        if len(size) != len(words) or not size.all():  # not cut as expected: one by one
+            each = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            ids, size = np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each])
+        at, n = len(self.index), len(words)
+        while at + n > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[at : at + n] = size
+        self.start[at : at + n] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.index.update(zip(words, range(at, at + n), strict=True))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text's words in a row, and how many each has."""
+        if len(self.index) > KNOWN:
+            self._reset()
+        get = self.index.get
+        at = list(map(get, words))
+        k = np.array([-1 if i is None else i for i in at], dtype=np.int64) if None in at else np.array(at, dtype=np.int64)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys([words[i] for i in new])))
+            k[new] = [get(words[i]) for i in new]
+        n = self.size[k]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts with the end id."""
-        out: list[np.ndarray] = []
-        for t in texts:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain: list[int] = []
+        held = 0
+        for i, t in enumerate(texts):
             if not self.by_word or _PLAIN.search(t):
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                out[i] = np.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32), np.uint32(END))
             else:
-                if len(self.index) > KNOWN:
-                    self._reset()
-                words = _WORDS.findall(t.lower())
-                at = list(map(self.index.get, words))
-                if None in at:
-                    self._learn(list({w for w, i in zip(words, at, strict=True) if i is None}))
-                    at = list(map(self.index.__getitem__, words))
-                k = np.array(at, dtype=np.int64)
-                n = self.size[k]
-                ends = np.cumsum(n)
-                ids = self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            out.append(np.append(ids, np.uint32(END)))
+                plain.append(i)
+                held += len(t)
+                if held > 1 << 20:
+                    self._encode(texts, plain, out)
+                    plain, held = [], 0
+        self._encode(texts, plain, out)
         return out
 
+    def _encode(self, texts: list[str], which: list[int], out: list) -> None:
+        words, ends = [], []
+        for i in which:
+            words += _WORDS.findall(texts[i].lower())
+            ends.append(len(words))
+        ids, n = self._words(words)
+        total = np.r_[0, np.cumsum(n)]
+        for i, (x, y) in zip(which, zip(total[[0, *ends[:-1]]], total[ends], strict=True), strict=True) if which else ():
+            out[i] = np.append(ids[x:y], np.uint32(END))
+
 
 _FILE = "shard int, unit long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
