@@ -208,15 +208,31 @@ def linked(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each row of docs."""
-    prints = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "text", words).select("doc_id", "fp"), "prints")
+    """(doc_id, h: text hash, fp, root: least fingerprint of the group, component_id), a row for each row of docs."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = written(fingerprints(rows, "text", words).select("doc_id", "h", "fp"), "prints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     root = components(linked(least.select("fp"), hot))
     classed = least.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classed = written(classed, "classes")
     ids = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classed.join(ids, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = classed.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of least doc_id (null last), then least text hash; one of identical rows."""
+    found = near_duplicates(docs, doc_id, text, words)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("f"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.h").alias("__h"))
+    copies = found.groupBy(name(F.col("doc_id")).alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
+    first = written(first.join(copies, ["__id", "__h"]), "representatives")
+    rows = docs.withColumn("__id", name(F.col(doc_id))).withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    kept = rows.join(first, ["__id", "__h"])
+    once = kept.where("__n = 1").select(*docs.columns)
+    many = kept.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    return once.unionByName(many)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
