@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vernal.llm.common import as_bytes, remainder, whole_text, written
 
-TOP, BUCKETS, HOT = 1_791, 256, 300_000
+TOP, BUCKETS, HOT = 1_791, 256, 200_000
 #: Expected size of the sample of training texts that the model is fitted on, picked by hash.
 SAMPLE_DOCS = 2_500
 DIM, NOISE, BATCH, EPOCHS, RATE = 32, 128, 2048, 6, 0.05
@@ -84,10 +85,16 @@ class Model:
 
 
 def normalised(first: np.ndarray, second: np.ndarray) -> Model:
-    """All sums over classes as one matrix product."""
-    a, b = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
-    total = np.exp((first - a).astype(np.float64)) @ np.exp((second - b).astype(np.float64)).T
-    return Model(first.astype(np.float32), second.astype(np.float32), (np.log(np.maximum(total, 1e-300)) + a + b.T).astype(np.float32))
+    """All sums over classes as one matrix product, some rows at a time."""
+    first, second = first.astype(np.float32, copy=False), second.astype(np.float32, copy=False)
+    top = second.max(axis=1, keepdims=True)
+    right = np.exp(second - top).T
+    log_sum = np.empty((len(first), len(second)), np.float32)
+    for at in range(0, len(first), 256):
+        a = first[at : at + 256]
+        most = a.max(axis=1, keepdims=True)
+        log_sum[at : at + 256] = np.log(np.maximum(np.exp(a - most) @ right, 1e-37)) + most + top.T
+    return Model(first, second, log_sum)
 
 
 def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
@@ -96,7 +103,7 @@ def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
     start = classes
     w, one, two = [], [], []
     for t in texts:
-        x = np.r_[start, start, t]
+        x = np.r_[start, start, t].astype(np.int32)
         w.append(x[2:])
         one.append(x[1:-1])
         two.append(x[:-2])
@@ -157,7 +164,7 @@ class Scorer:
     """What executors need: the model and the frequent words."""
 
     model: Model
-    hot: dict[bytes, int]  # word -> place, by count downwards
+    words: bytes  # frequent words by count downwards, spaces between
     hot_class: np.ndarray
     hot_base: np.ndarray  # log10 of the base probability
     hot_share: np.ndarray  # log10 of the share of its bucket (0: a class of its own)
@@ -167,6 +174,13 @@ class Scorer:
     log_bucket: np.ndarray  # the same of each bucket
     known_end: int
 
+    @cached_property
+    def hot(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.split(b" "))} if self.words else {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "hot"}  # each worker makes it once
+
     def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place (-1: not frequent) and class of each word."""
         at = list(map(self.hot.get, words))
@@ -217,8 +231,9 @@ def fit(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> tuple[Sco
     n_docs = docs.count()
     total = vocabulary.agg(F.sum("c"), F.count("*")).first()
     n, v = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
-    rows = vocabulary.orderBy(F.col("c").desc(), "word").limit(HOT).toPandas()
-    words, counts = [bytes(w) for w in rows["word"]], rows["c"].to_numpy(dtype=np.float64)
+    rows = vocabulary.orderBy(F.col("c").desc(), "word").limit(HOT).toArrow()
+    words, counts = rows.column("word").to_pylist(), rows.column("c").to_numpy().astype(np.float64)
+    del rows
     top = min(TOP, len(words))
     # buckets: all words but the classes of their own
     by_bucket = F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(BUCKETS))
@@ -232,10 +247,12 @@ def fit(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> tuple[Sco
     hot_class = np.where(np.arange(len(words)) < top, np.arange(len(words)), top + groups)
     share = np.where(np.arange(len(words)) < top, 0.0, np.log10(counts + ALPHA) - log_bucket[groups] if len(words) else 0.0)
     empty = Model(np.zeros((1, 1)), np.zeros((1, 1)), np.zeros((1, 1)))
-    scorer = Scorer(empty, {w: i for i, w in enumerate(words)}, hot_class, np.log10(counts + ALPHA) - log_tokens, share, top, math.log10(n_docs + ALPHA) - log_tokens, log_tokens, log_bucket, int(n_docs > 0))
+    scorer = Scorer(empty, b" ".join(words), hot_class, np.log10(counts + ALPHA) - log_tokens, share, top, math.log10(n_docs + ALPHA) - log_tokens, log_tokens, log_bucket, int(n_docs > 0))
+    del words
     picked = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(n_docs, 1))))
     end = top + BUCKETS
-    texts = [np.r_[scorer.classes((r["t"] or "").encode().lower().split())[1], end] for r in picked.select(F.col(text).cast("string").alias("t")).sort("t").toLocalIterator()]
+    texts = [np.r_[scorer.classes((r["t"] or "").encode().lower().split())[1], end].astype(np.int32) for r in picked.select(F.col(text).cast("string").alias("t")).sort("t").toLocalIterator()]
+    scorer.__dict__.pop("hot", None)
     scorer.model = train(texts, end + 1)
     return scorer, n
 
