@@ -48,7 +48,8 @@ def sentinel(dn: Column) -> Column:
 
 
 def normalised_difference(a: Column, b: Column) -> Column:
-    return (a - b) / F.nullif(a + b, F.lit(0.0))
+    """Missing where an input is negative or both are zero; so the index stays within -1 to 1."""
+    return F.when((a >= 0) & (b >= 0), (a - b) / F.nullif(a + b, F.lit(0.0)))
 
 
 def water_index(year: Column, ndwi: Column, mndwi: Column, thr: Thresholds) -> Column:

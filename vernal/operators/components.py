@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TILE = 1024
 
@@ -79,7 +80,7 @@ def _roots(links: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
 def components(px: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """px (keys, row, col; distinct) with label."""
     t = px.select(*keys, "row", "col", F.floor(F.col("row") / tile).cast("int").alias("__tr"), F.floor(F.col("col") / tile).cast("int").alias("__tc"))
-    schema = t.schema.add("label", "long")
+    schema = T.StructType([*t.schema.fields, T.StructField("label", T.LongType())])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(label=label_pixels(pdf["row"].to_numpy(), pdf["col"].to_numpy()))
