@@ -74,6 +74,19 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{SPACE}+"))).cast("long")
 
 
+#: Rows of an Arrow batch, where the session has no value of its own: texts can be long, and a batch is in memory
+#: several times over.
+BATCH_ROWS = 1_000
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow with small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":  # Spark's default
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(fn, schema)
+
+
 def appended(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
     """df (or its columns ``keep``) with computed columns at the end.
 
@@ -91,7 +104,7 @@ def appended(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.Record
             got = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in fn(b)]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in old], *got], names=[*old, *names])
 
-    return df.mapInArrow(run, out)
+    return arrow_map(df, run, out)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import as_bytes, ranged, whole_text
+from vernal.llm.common import arrow_map, as_bytes, ranged, whole_text
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CODE = np.frombuffer(LETTERS.encode(), dtype=np.uint8)
@@ -209,7 +209,7 @@ def compared(ordered: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return ordered.select("pid", "tail", "doc_id", "text").mapInArrow(run, _OUT)
+    return arrow_map(ordered.select("pid", "tail", "doc_id", "text"), run, _OUT)
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:

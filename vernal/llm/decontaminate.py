@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, as_bytes
+from vernal.llm.common import appended, arrow_map, as_bytes
 
 N = 3
 SEEDS = 12
@@ -203,7 +203,7 @@ def document_counts(docs: DataFrame, items: Items, text: str = "text") -> np.nda
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["seed", "n"])
 
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = arrow_map(docs.select(F.col(text).cast("string").alias("text")), run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     out = np.zeros(len(items.seeds), np.int64)
     for r in counts.toLocalIterator():
         out[r["seed"]] = r["n"]

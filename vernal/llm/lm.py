@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import as_bytes, remainder, whole_text, written
+from vernal.llm.common import arrow_map, as_bytes, remainder, whole_text, written
 
 TOP, BUCKETS, HOT = 1_791, 256, 200_000
 #: Expected size of the sample of training texts that the model is fitted on, picked by hash.
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield give()
 
-    return docs.select(whole_text(text).alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select(whole_text(text).alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def bucket(word: bytes) -> int:
@@ -282,7 +282,7 @@ def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "t
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(uid, uid + n)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))], names=schema.names)
                 uid, at, held = uid + n, i + 1, 0
 
-    parts = written(d.mapInArrow(run, schema), "scores")  # row numbers hold from here on
+    parts = written(arrow_map(d, run, schema), "scores")  # row numbers hold from here on
     words = parts.where("size(rare) > 0").select("uid", F.explode("rare").alias("word"))
     counted = words.join(vocabulary, "word", "left").groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("rare_part"), F.count("c").alias("n_rare"))
     zero = F.lit(0.0)

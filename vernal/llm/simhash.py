@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, as_bytes, written
+from vernal.llm.common import appended, arrow_map, as_bytes, written
 from vernal.llm.graph import components
 
 BITS = 2
@@ -127,7 +127,7 @@ def _replicas(fps: DataFrame) -> DataFrame:
                 i, anchor = code.near(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[i].view(np.int64))], names=["anchor", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+    return arrow_map(fps.select("fp"), run, "anchor long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def _links(replicas: DataFrame, bits: int) -> DataFrame:
         if held:
             yield give(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
+    return arrow_map(replicas.repartition("anchor").sortWithinPartitions("anchor"), run, "a long, b long")
 
 
 def _hot_links(hot: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernal.llm import rangecoder
-from vernal.llm.common import ranged, whole_text, written
+from vernal.llm.common import arrow_map, ranged, whole_text, written
 
 END = 2
 #: Bytes of text in a shard, and ids in a unit, about.
 SHARD_BYTES, UNIT_IDS = 4 << 20, 1 << 18
 #: Ids that a task holds before it codes them; words that a worker remembers.
-HELD_IDS, KNOWN = 1 << 23, 400_000
+HELD_IDS, KNOWN = 1 << 22, 300_000
 
 _LATIN = [chr(c) for c in range(0xA1, 0x100)]
 _LETTERS = "a-zA-Z" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
@@ -116,6 +116,18 @@ class Tokens:
             out[i] = np.append(ids[x:y], np.uint32(END))
 
 
+_OF: dict[tuple[int, bool], Tokens] = {}
+
+
+def remembered(definition: str, by_word: bool) -> Tokens:
+    """One of each tokenizer in a worker, so that words learned in a task serve the next ones."""
+    key = (hash(definition), by_word)
+    if key not in _OF:
+        _OF.clear()
+        _OF[key] = Tokens(definition, by_word)
+    return _OF[key]
+
+
 _FILE = "shard int, unit long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
@@ -127,7 +139,7 @@ def encode(docs: DataFrame, definition: str, by_word: bool, nibbles: int = 4) ->
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value, by_word)
+        tokens = remembered(shared.value, by_word)
         units: list[tuple[int, int, list, list]] = []
         held = 0
 
@@ -168,14 +180,14 @@ def encode(docs: DataFrame, definition: str, by_word: bool, nibbles: int = 4) ->
         if units:
             yield flush()
 
-    return d.select("pid", "doc_id", "text").mapInArrow(run, _FILE)
+    return arrow_map(d.select("pid", "doc_id", "text"), run, _FILE)
 
 
 def read(files: DataFrame) -> DataFrame:
     """Decoded documents: (shard, unit, place, doc_id, before: ids before it in its unit, ids: little-endian u32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 16) for whole in batches for at in range(0, whole.num_rows, 16)):  # bounded memory, full lockstep groups
             col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
             ids = iter(rangecoder.decode([x for u in col["blocks"] for x in u]))
             for i in range(b.num_rows):
@@ -196,7 +208,7 @@ def read(files: DataFrame) -> DataFrame:
                     names=["shard", "unit", "place", "doc_id", "before", "ids"],
                 )
 
-    return files.select("shard", "unit", "doc_ids", "lengths", "blocks").mapInArrow(run, "shard int, unit long, place long, doc_id long, before long, ids binary")
+    return arrow_map(files.select("shard", "unit", "doc_ids", "lengths", "blocks"), run, "shard int, unit long, place long, doc_id long, before long, ids binary")
 
 
 def starts(files: DataFrame) -> DataFrame:
