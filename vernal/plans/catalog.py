@@ -156,7 +156,7 @@ def water_masks(s, d):
 def box_mean(s, d):
     late = _flags(s, d).where("NOT is_mss").select("site", "year", "row", "col", F.round("ndmi").cast("long").alias("ndmi"))
     dense = focal.densify(late, B.grid(s), ["site", "year"], late.where("ndmi IS NOT NULL").select("site", "year").distinct())
-    return px(focal.box_sums(dense, "ndmi", B.THR.radius_px(B.THR.wetveg_window_m, B.PIXEL), ["site", "year"]), "year", "box_sum", "box_n")
+    return px(focal.box_sums(dense, "ndmi", B.THR.radius_px(B.THR.wetveg_window_m, B.PIXEL), ["site", "year"]).where("box_n > 0"), "year", "box_sum", "box_n")
 
 
 @query(f"WITH {VEG} SELECT y AS year, r AS px_row, c AS px_col, CAST(veg AS INT) AS veg, CAST(moist AS INT) AS moist FROM veg1")
