@@ -50,7 +50,7 @@ BOX = FLAGS + """, late AS (SELECT y, r, c, CAST(round(ndmi) AS BIGINT) AS v FRO
  near AS (SELECT p.r, p.c, greatest(0, least(19, p.r + dr)) AS r2, greatest(0, least(19, p.c + dc)) AS c2 FROM pix p, off),
  box AS (SELECT l.y, n.r, n.c, CAST(sum(l.v) AS BIGINT) AS box_sum, count(*) AS box_n FROM near n JOIN late l ON l.r = n.r2 AND l.c = n.c2 GROUP BY ALL)"""
 VEG = BOX + f""", static AS ({B.STATIC}),
- veg0 AS (SELECT f.*, coalesce(f.obs_late AND NOT f.w_late AND NOT f.is_mss AND f.ndvi > 3000 AND NOT (s.worldcover IN (40, 50) OR s.slope_deg > 5), false) AS dry,
+ veg0 AS (SELECT f.*, coalesce(f.obs_late AND NOT f.w_late AND NOT f.is_mss AND f.ndvi > 3000 AND NOT coalesce(s.worldcover IN (40, 50) OR s.slope_deg > 5, false), false) AS dry,
   CAST(round(f.ndmi) AS BIGINT) AS q, b.box_sum, b.box_n FROM flags f LEFT JOIN box b USING (y, r, c) LEFT JOIN static s USING (r, c)),
  veg1 AS (SELECT *, coalesce(dry AND ndmi > 3000 AND q * box_n - box_sum > 1200 * box_n, false) AS veg, coalesce(dry AND ndmi > 3500, false) AS moist FROM veg0)"""
 FINAL = VEG + """, per AS (SELECT r, c, count(*) FILTER (obs_late) AS n, count(*) FILTER (veg) AS v, bool_or(w_spr OR w_late) AS water FROM veg1 GROUP BY r, c),
@@ -335,7 +335,7 @@ WET_SQL = LABEL + FREQ + f""", ob AS (SELECT l.label, l.r, l.c, (l.c + 0.5) * CA
   CASE WHEN {_INSIDE.format(*PROJECT)} THEN 0 WHEN {_INSIDE.format(*RINGS[0][1])} THEN 1 WHEN {_INSIDE.format(*RINGS[1][1])} THEN 2 ELSE 3 END AS rnk FROM ob),
  w AS (SELECT label, count(*) AS n_px, avg(x) AS cx, avg(y0) AS cy, min(away) AS dist, avg(CAST(inp AS INT)) AS share, min(rnk) AS rnk, avg(CAST(in_wet AS INT)) AS in_wet_year_extent, avg(CAST(in_dry AS INT)) AS in_dry_year_extent,
   quantile_cont(f_late, 0.9) AS f_late_p90, quantile_cont(f_spring, 0.9) AS f_spring_p90, avg(CAST(coalesce(f_late >= 0.9, false) AS INT)) AS frac_permanent_water, avg(CAST(coalesce(f_spring >= 0.5, false) AS INT)) AS frac_seasonal_water,
-  avg(CAST(worldcover = 10 AS INT)) AS frac_tree, avg(CAST(worldcover = 80 AS INT)) AS frac_water, avg(CAST(worldcover = 90 AS INT)) AS frac_herb_wet, {', '.join(f'avg({c}) AS {c}' for c in _STATS)} FROM ob2 GROUP BY label)"""
+  avg(CAST(coalesce(worldcover = 10, false) AS INT)) AS frac_tree, avg(CAST(coalesce(worldcover = 80, false) AS INT)) AS frac_water, avg(CAST(coalesce(worldcover = 90, false) AS INT)) AS frac_herb_wet, {', '.join(f'avg({c}) AS {c}' for c in _STATS)} FROM ob2 GROUP BY label)"""
 _ZONAL = [*_STATS, "f_late_p90", "f_spring_p90", "frac_permanent_water", "frac_seasonal_water", "frac_tree", "frac_water", "frac_herb_wet", "in_wet_year_extent", "in_dry_year_extent"]
 
 

@@ -12,7 +12,7 @@ NODATA = -32768
 
 def write_stack(composite: DataFrame, path: str) -> None:
     """One partition a site and year; only the years at hand are replaced. NULL stays NULL."""
-    out = composite.select("site", "year", "row", "col", *[F.round(b).cast("smallint").alias(b) for b in BANDS])
+    out = composite.select("site", F.col("year").cast("int").alias("year"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.round(b).cast("smallint").alias(b) for b in BANDS])
     (out.repartition("site", "year").sortWithinPartitions("row", "col").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site", "year").parquet(path))
 
 
