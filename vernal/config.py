@@ -66,6 +66,7 @@ class Config:
     start_year: int = 1972
 
 
+#: Regions with peatland.
 PEAT_REGIONS = ("boreal", "foothills", "canadian_shield", "rocky_mountain")
-#: Land-cover codes by group.
+#: Land-cover codes by group.
 COVER = {"tree": [10], "shrub": [20], "grass": [30], "crop": [40], "built": [50], "bare": [60], "water": [80], "herb_wet": [90], "moss": [100]}

@@ -7,9 +7,32 @@ from pyspark.sql import functions as F
 
 from vernal.config import PEAT_REGIONS, Thresholds
 
-# fixed values of the rules
+# Fixed values of the rules: cuts, class names and the texts of the rationale.
 TEMPORARY_SPRING, MIXED_OPEN, FRINGE_OPEN, SURE_JRC, FEW_YEARS, STEEP = 0.15, 0.1, 0.75, 50.0, 8.0, 6.0
 PERMANENCE = ("ephemeral", "temporary", "seasonal", "semi-permanent", "permanent")
+SHALLOW = "Shallow Open Water"
+MARSH = "Marsh"
+FEN = "Fen (bog possible)"
+SWAMP = "Swamp"
+OVER_BASIN = "permanent open water over "
+OF_BASIN = " of the basin"
+FRINGE = "; marsh fringe likely"
+ZONE = "permanent open-water zone ("
+INSIDE_MARSH = ") inside a larger emergent marsh"
+TREED = "wooded, saturated all years, no seasonal flooding -> treed peatland"
+WOODY = "woody cover with seasonal surface water"
+SATURATED = "herbaceous, persistently saturated, little open water, low wet/dry swing -> peatland"
+EMERGENT = "emergent vegetation with seasonal to semi-permanent water"
+CROPPED = "mostly cropped in WorldCover: cultivated temporary wetland"
+EPHEMERAL = "ephemeral/temporary depression (S&K I-II); may be a cultivated wetland"
+STEEP_NOTE = "steep terrain: check for shadow/false positive"
+CORE = " (core: spring water "
+OF_YEARS = " of yrs, late water "
+MEAN_SPRING = "; polygon mean spring "
+MEAN_LATE = ", late "
+WET_YEARS = "late water wet-yrs "
+DRY_YEARS = " vs dry-yrs "
+OBSERVED = " observed years"
 
 
 def permanence_class(spring: Column, late: Column, thr: Thresholds) -> Column:
@@ -43,16 +66,16 @@ def classify(df: DataFrame, thr: Thresholds = Thresholds()) -> DataFrame:
     is_woody = woody >= thr.woody_frac_swamp
     # first match decides: (condition, class, form, confidence, notes)
     rules = [
-        ((sk == 5) & (open_share >= thr.open_water_frac_sow), "Shallow Open Water", F.lit("open water"), F.when(val("jrc_occurrence") >= SURE_JRC, "high").otherwise("medium"),
-         [F.concat(F.lit("permanent open water over "), percent(open_share), F.lit(" of the basin"), F.when(open_share < FRINGE_OPEN, "; marsh fringe likely").otherwise(""))]),
-        ((sk == 5) & (open_share > MIXED_OPEN) & ~is_woody, "Marsh", F.lit("graminoid"), F.lit("medium"),
-         [F.concat(F.lit("permanent open-water zone ("), percent(open_share), F.lit(") inside a larger emergent marsh"))]),
-        (is_woody & damp & (veg >= 0.5), "Fen (bog possible)", wooded, F.lit("low"), [F.lit("wooded, saturated all years, no seasonal flooding -> treed peatland")]),
-        (is_woody, "Swamp", wooded, F.lit("medium"), [F.lit("woody cover with seasonal surface water")]),
-        (damp & (veg >= 0.6) & (crop < 0.2), "Fen (bog possible)", F.lit("graminoid"), F.lit("low"), [F.lit("herbaceous, persistently saturated, little open water, low wet/dry swing -> peatland")]),
-        (marsh, "Marsh", F.lit("graminoid"), F.when(crop >= 0.5, "low").otherwise("medium"),
-         [F.lit("emergent vegetation with seasonal to semi-permanent water"), F.when(crop >= 0.5, "mostly cropped in WorldCover: cultivated temporary wetland")]),
-        (F.lit(True), "Marsh", F.lit("graminoid"), F.lit("low"), [F.lit("ephemeral/temporary depression (S&K I-II); may be a cultivated wetland")]),
+        ((sk == 5) & (open_share >= thr.open_water_frac_sow), SHALLOW, F.lit("open water"), F.when(val("jrc_occurrence") >= SURE_JRC, "high").otherwise("medium"),
+         [F.concat(F.lit(OVER_BASIN), percent(open_share), F.lit(OF_BASIN), F.when(open_share < FRINGE_OPEN, FRINGE).otherwise(""))]),
+        ((sk == 5) & (open_share > MIXED_OPEN) & ~is_woody, MARSH, F.lit("graminoid"), F.lit("medium"),
+         [F.concat(F.lit(ZONE), percent(open_share), F.lit(INSIDE_MARSH))]),
+        (is_woody & damp & (veg >= 0.5), FEN, wooded, F.lit("low"), [F.lit(TREED)]),
+        (is_woody, SWAMP, wooded, F.lit("medium"), [F.lit(WOODY)]),
+        (damp & (veg >= 0.6) & (crop < 0.2), FEN, F.lit("graminoid"), F.lit("low"), [F.lit(SATURATED)]),
+        (marsh, MARSH, F.lit("graminoid"), F.when(crop >= 0.5, "low").otherwise("medium"),
+         [F.lit(EMERGENT), F.when(crop >= 0.5, CROPPED)]),
+        (F.lit(True), MARSH, F.lit("graminoid"), F.lit("low"), [F.lit(EPHEMERAL)]),
     ]
 
     def chosen(part) -> Column:
@@ -62,9 +85,9 @@ def classify(df: DataFrame, thr: Thresholds = Thresholds()) -> DataFrame:
         return out
 
     few, steep = val("n_obs_years") < FEW_YEARS, val("slope_deg") > STEEP
-    head = F.concat(F.lit("S&K "), sk.cast("string"), F.lit(" (core: spring water "), percent(spring_core), F.lit(" of yrs, late water "), percent(late_core), F.lit("; polygon mean spring "), percent(spring), F.lit(", late "), percent(late), F.lit(")"))
-    swings = F.when(swing.isNotNull(), F.concat(F.lit("late water wet-yrs "), percent(opt("f_late_wet_yrs")), F.lit(" vs dry-yrs "), percent(opt("f_late_dry_yrs"))))
-    notes = F.concat_ws("; ", head, swings, chosen(lambda r: F.concat_ws("; ", *r[3])), F.when(few, F.concat(F.lit("only "), F.bround(val("n_obs_years"), 0).cast("int").cast("string"), F.lit(" observed years"))), F.when(steep, "steep terrain: check for shadow/false positive"))
+    head = F.concat(F.lit("S&K "), sk.cast("string"), F.lit(CORE), percent(spring_core), F.lit(OF_YEARS), percent(late_core), F.lit(MEAN_SPRING), percent(spring), F.lit(MEAN_LATE), percent(late), F.lit(")"))
+    swings = F.when(swing.isNotNull(), F.concat(F.lit(WET_YEARS), percent(opt("f_late_wet_yrs")), F.lit(DRY_YEARS), percent(opt("f_late_dry_yrs"))))
+    notes = F.concat_ws("; ", head, swings, chosen(lambda r: F.concat_ws("; ", *r[3])), F.when(few, F.concat(F.lit("only "), F.bround(val("n_obs_years"), 0).cast("int").cast("string"), F.lit(OBSERVED))), F.when(steep, STEEP_NOTE))
     return df.withColumns({
         "awcs_class": chosen(lambda r: F.lit(r[0])),
         "awcs_form": chosen(lambda r: r[1]),

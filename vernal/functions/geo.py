@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EARTH = 6378137.0
+# The patterns of names.
+IMPACT = r"(?i)\s*impact zones\s*$"
+SITE_NUMBER = r"(?i)\(site\s*(\d+)\)"
+OTHER_SIGNS = "[^A-Za-z0-9]+"
+RING_NAME = r"(?i)^\s*\d+\s*(m|km)\b"
 
 
 def coordinates(text: Column) -> Column:
@@ -19,13 +23,13 @@ def _trimmed(c: Column) -> Column:
 
 
 def name_slug(name: Column) -> Column:
-    return _trimmed(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"))
+    return _trimmed(F.regexp_replace(name, OTHER_SIGNS, "_"))
 
 
 def site_slug(folder: Column) -> Column:
     """Without "impact zones" at the end, "(Site n)" as Siten, other signs as underscores."""
-    c = F.regexp_replace(folder, r"(?i)\s*impact zones\s*$", "")
-    return _trimmed(F.regexp_replace(F.regexp_replace(c, r"(?i)\(site\s*(\d+)\)", "Site$1"), "[^A-Za-z0-9]+", "_"))
+    c = F.regexp_replace(folder, IMPACT, "")
+    return _trimmed(F.regexp_replace(F.regexp_replace(c, SITE_NUMBER, "Site$1"), OTHER_SIGNS, "_"))
 
 
 def unique_slugs(df: DataFrame, slug: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +39,7 @@ def unique_slugs(df: DataFrame, slug: str, order: str, keys: tuple[str, ...] = (
 
 
 def is_ring(name: Column) -> Column:
-    return F.coalesce(name.rlike(r"(?i)^\s*\d+\s*(m|km)\b"), F.lit(False))
+    return F.coalesce(name.rlike(RING_NAME), F.lit(False))
 
 
 def quadkey(x: Column, y: Column, z: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vernal.config import Thresholds
 
-#: Bands of each sensor family under their common names.
+#: Bands of each sensor family under their common names.
 BANDS = {
     "MSS1-3": {"blue": None, "green": "B4", "red": "B5", "nir": "B7", "swir1": None},
     "MSS4-5": {"blue": None, "green": "B1", "red": "B2", "nir": "B4", "swir1": None},

@@ -21,6 +21,7 @@ from vernal.functions.geo import name_slug, unique_slugs
 
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 SCHEMA = f"path string, ord int, name string, folder string, description string, geometry {GEOMETRY}"
+#: Attributes that may hold a name, in order.
 NAME_FIELDS = ("Name", "NAME", "name", "site", "Site", "id", "ID")
 
 
