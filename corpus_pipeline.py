@@ -1,6 +1,7 @@
 """Training-data pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-language_id drops what no language can be given to; near_dedup keeps one document of each SimHash group;
+language_id drops what no language can be given to; near_dedup keeps one document of each group of near copies (five-word
+shingles, similarity 0.8 or more, found by SimHash);
 decontaminate drops documents that hold a benchmark passage; mix draws sources to their target weights
 (documents can go, or come twice); tokens writes and rereads token files and returns a digest of them.
 Nulls, empty texts, repeated rows and empty tables are handled as the operators' modules say.
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vernal.llm import decontaminate, language_id, mixing, simhash, tokens
+from vernal.llm import decontaminate, language_id, mixing, similar, simhash, tokens
 from vernal.llm.common import written
 
 #: Least posterior of the language found.
@@ -25,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints linked at 2 or fewer bits."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies."""
+    return simhash.representatives(docs, similar.similar(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

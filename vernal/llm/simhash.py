@@ -220,9 +220,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one of least doc_id (null last), then least text hash; one of identical rows."""
-    found = near_duplicates(docs, doc_id, text, words)
+def representatives(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of found (doc_id, h, root): the one of least doc_id (null last), then least text hash; one of identical rows."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("f"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     first = first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.h").alias("__h"))
