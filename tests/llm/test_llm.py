@@ -193,6 +193,34 @@ def test_leaks(spark):
     assert sorted(got) == [(0, 7), (0, 7), (1, 7), (3, 8), (7, 7)]
 
 
+def test_leaks_of_lone_edited_copies(spark):
+    """Edits at 20-30 % of the words: seeds that no document holds take no place from those that are left."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [rng.choices(vocabulary, k=40) for _ in range(40)]
+    # other documents hold the item's parts, so what an edit destroys is rarer than what it leaves
+    texts, want = [" ".join(x[a : a + 10]) for x in items for a in range(0, 31, 5)], set()
+    for k, x in enumerate(items):
+        w = [rng.choice(vocabulary) if rng.random() < 0.2 + 0.1 * (k % 2) else y for y in x]
+        known = {y: n for n, y in enumerate(dict.fromkeys(x))}
+        ids = [np.array([known.get(y, -1) for y in z]) for z in (x, w)]
+        shared = {tuple(x[i : i + 3]) for i in range(38)} & {tuple(w[i : i + 3]) for i in range(38)}
+        if shared and decontaminate.align(ids[0], ids[1][None, :])[0][0] >= len(x):
+            want.add((len(texts), k))
+        texts.append(" ".join(rng.choices(vocabulary, k=60) + w + rng.choices(vocabulary, k=60)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id int, text string")
+    got = {(r["doc_id"], x["item_id"]) for r in decontaminate.contaminated(d, b).collect() for x in r["leaks"]}
+    assert len(want) > 30 and want <= got
+
+
+def test_bound_is_never_below_the_score():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(1, 9, 9), rng.integers(-1, 9, (20, 15))
+        assert (decontaminate.reachable(a, b, 9) >= decontaminate.align(a, b)[0]).all()
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(20):

@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Texts and items become words (lower case, ASCII punctuation as space). Seeds are an item's word n-grams; how
-many documents hold each seed is counted over the whole corpus, and an item keeps the rarer half of its
-seeds (SEEDS at least), so that an item always has seeds, however often it was copied. Where a document holds a kept seed, the
-item is aligned with the words around it: local alignment, match +2, mismatch and gap -1, as a share of
-the best possible score. A document that reaches ``least`` with any item is contaminated by it; edited and
-paraphrased copies lose a few points for each edit only.
+Texts and items become words (lower case, ASCII punctuation as space). Seeds are an item's word n-grams, all
+of them: the seeds that an edit leaves are not known before. Where a document holds a seed, the item is
+aligned with the words around it: local alignment, match +2, mismatch and gap -1, as a share of the best
+possible score. A document that reaches ``least`` with any item is contaminated by it; edited and paraphrased
+copies lose a few points for each edit only.
+
+What makes frequent seeds cheap loses nothing: an alignment has at most as many matches as the item has
+places whose word is in the window, and as the window has places whose word is in the item, and scores 2 for
+each at best. Windows that can't reach ``least`` by that are not aligned.
 
 The benchmark is taken in blocks of BLOCK_WORDS words, so what goes to the executors is bounded, and each
-block passes over the documents twice (to count, to align). Nothing is paired but documents and items
-that share a kept seed.
+block passes over the documents once. Nothing is paired but documents and items that share a seed.
 
 Defined cases: null and empty texts have no words and no leaks; an item with fewer words than a seed can't
 be found, nor can a null item; an item repeated under several ids is reported under each; repeated rows of
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from vernal.llm.common import appended, arrow_map, as_bytes
 
 N = 3
-SEEDS = 12
 LEAST = 0.5
 BLOCK_WORDS = 1 << 20
 _PIECE = 4 << 20
@@ -69,17 +70,6 @@ class Items:
             known &= w[j : j + n] > 0
         return np.where(known, code, -1)
 
-    def keep(self, documents: np.ndarray) -> None:
-        """Only each item's rarer seeds, by the number of documents that hold them (then by number)."""
-        rarity = documents[np.searchsorted(self.seeds, self.code)]
-        order = np.lexsort((self.code, rarity, self.item))
-        start = np.searchsorted(self.item[order], self.item[order])
-        rank = np.arange(len(order)) - start
-        total = np.bincount(self.item, minlength=len(self.words))[self.item[order]]
-        kept = np.sort(order[(rank < SEEDS) | (2 * rank < total)])
-        self.code, self.item, self.at = self.code[kept], self.item[kept], self.at[kept]
-        self.seeds, self.first = np.unique(self.code, return_index=True)
-
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all texts, N-1 zeros after each, and where each text begins."""
         get = self.vocabulary.get
@@ -124,6 +114,21 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def reachable(item: np.ndarray, windows: np.ndarray, known: int) -> np.ndarray:
+    """Upper bounds of the scores of an item against each row of word ids (below ``known``)."""
+    inside = np.zeros(known + 1, dtype=bool)  # the last for ids of -1
+    inside[item] = True
+    held = inside[windows]
+    most = held.sum(axis=1)
+    few = np.flatnonzero(most)
+    # places of the item whose word is in the window
+    times = np.bincount(item, minlength=known)
+    row, column = np.nonzero(held[few])
+    pairs = np.unique(row * known + windows[few[row], column])
+    most[few] = np.minimum(most[few], np.bincount(pairs // known, weights=times[pairs % known], minlength=len(few)))
+    return 2 * most
+
+
 def leaks(items: Items, texts: list[bytes], least: float = LEAST) -> list[list[dict]]:
     """For each text its leaks: item_id, score, end_word (the word after the aligned passage)."""
     out: list[list[dict]] = [[] for _ in texts]
@@ -151,10 +156,12 @@ def leaks(items: Items, texts: list[bytes], least: float = LEAST) -> list[list[d
         at = (begin[own[0]] + own[1] * s - s)[:, None] + np.arange(m + 3 * s)
         at[(at < begin[own[0]][:, None]) | (at >= ends[own[0]][:, None])] = len(ids)
         for part in range(0, len(at), 4096):
-            score, end = align(items.words[k], padded[at[part : part + 4096]])
-            for i in np.flatnonzero(score >= least * 2 * m):
-                d = int(own[0][part + i])
-                new = (float(score[i]) / (2 * m), int(at[part + i][end[i]] - begin[d]) + 1)
+            windows = padded[at[part : part + 4096]]
+            able = np.flatnonzero(reachable(items.words[k], windows, items.base) >= least * 2 * m)
+            score, end = align(items.words[k], windows[able])
+            for j in np.flatnonzero(score >= least * 2 * m):
+                i, d = able[j], int(own[0][part + able[j]])
+                new = (float(score[j]) / (2 * m), int(at[part + i][end[j]] - begin[d]) + 1)
                 found[k, d] = max(found.get((k, d), (0.0, 0)), new)
     for (k, d), (score, end) in sorted(found.items()):
         out[d].append({"item_id": items.ids[k], "score": score, "end_word": end})
@@ -184,32 +191,6 @@ def _pieces(texts: list[bytes]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def document_counts(docs: DataFrame, items: Items, text: str = "text") -> np.ndarray:
-    """Number of documents that hold each seed, over all documents."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(items)  # BLOCK_WORDS words and one longer item at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        total = np.zeros(len(it.seeds), np.int64)
-        for b in batches:
-            texts = as_bytes(b.column(0))
-            for part in _pieces(texts):
-                ids, begin = it.read(texts[part])
-                place, seed = it.hits(ids)
-                doc = np.searchsorted(begin, place, side="right")
-                pairs = np.unique(doc * len(it.seeds) + seed)
-                total += np.bincount(pairs % len(it.seeds), minlength=len(it.seeds)) if len(pairs) else 0
-        live = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["seed", "n"])
-
-    counts = arrow_map(docs.select(F.col(text).cast("string").alias("text")), run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(items.seeds), np.int64)
-    for r in counts.toLocalIterator():
-        out[r["seed"]] = r["n"]
-    return out
-
-
 LEAKS = "array<struct<item_id:bigint,score:double,end_word:bigint>>"
 
 
@@ -218,7 +199,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", leas
     out = docs.withColumn("leaks", F.array().cast(LEAKS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())]))
     for items in _blocks(benchmark):
-        items.keep(document_counts(docs, items, text))
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
