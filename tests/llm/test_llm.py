@@ -437,6 +437,28 @@ def test_near_copies_against_brute_force(spark, hot):
     assert len({got[i] for i in range(151)}) == 1 and got[155] == got[156] != got[157]
 
 
+def same_groups(spark, texts: dict, hot: int = similar.HOT) -> None:
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found, want = defaultdict(set), defaultdict(set)
+    for r in similar.similar(df, hot=hot).collect():
+        found[r["root"]].add(r["doc_id"])
+    for i, r in brute_groups(texts).items():
+        want[r].add(i)
+    assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in want.values()}
+
+
+def test_near_copies_with_blocks_of_edits(spark):
+    """Appended and truncated copies at 0.8 to 0.9: all are found."""
+    rng = random.Random(6)
+    noise = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for n, more in ((200, 48), (200, 40), (200, 30), (40, 8), (1000, 240), (300, 60)):
+        for _ in range(12):
+            w = noise(n)
+            texts += [w, w + noise(more)] if rng.random() < 0.5 else [noise(more) + w, w]
+    same_groups(spark, {i: " ".join(w) for i, w in enumerate(texts)})
+
+
 def test_representatives(spark, odd):
     for found in (simhash.near_duplicates(odd), similar.similar(odd)):
         got = simhash.representatives(odd, found).collect()

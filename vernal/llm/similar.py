@@ -8,10 +8,15 @@ an anchor, and texts 8 bits apart mostly do. Where texts share an anchor, those
 SHINGLE_BITS bits are candidates; a minimum spanning forest of them by distance goes on, never all pairs, and
 each of its links is checked exactly: sizes of the intersection and union of the shingle sets (64-bit hashes).
 
-The forest holds the closest candidates, so that what the check removes are links below the bound. Like any
-search by SimHash this one is not lossless: tests measure its recall against brute force.
+The forest holds the closest candidates, so most near copies are in one group after that. What it leaves out, and
+what the anchors miss (a block of words appended or cut moves the first fingerprint far), comes from BANDS keys of
+ROWS least shingle hashes each: texts of similarity s share a key but for a chance of (1 - s**ROWS)**BANDS, 3e-6 at
+0.8 and less above. Where texts that are not in one group yet share a key, every two of them whose sizes allow it are
+checked exactly, in one task for the key (keys of the same texts are taken once), and the links that join groups are
+added. No link is chosen before its check here, so links below the bound hide none above it.
 
-An anchor of more than HOT texts is compared in blocks, a task for each pair of blocks, so none is skipped.
+An anchor of more than HOT texts is compared in blocks, a task for each pair of blocks, so none is skipped; so is
+a key of more than APART texts.
 
 Defined cases: null, empty and white-space texts are copies of each other; texts of fewer than 5 words are one
 shingle, so only copies are alike; case (A-Z) and white space don't count; repeated rows share their group;
@@ -38,6 +43,10 @@ WORDS, LEAST = 5, 0.8
 WORD_BITS, SHINGLE_BITS = 10, 19
 #: Texts at one anchor above which it is compared in blocks of about so many.
 HOT = 8192
+#: Keys of least hashes, and least hashes in each.
+BANDS, ROWS = 24, 4
+#: Texts at one key above which it is compared in blocks of about so many.
+APART = 2048
 _GOLAY = (23, 0b110001110101, 3)
 _PART = 1 << 17
 
@@ -54,31 +63,54 @@ def _hashes(parts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8", count=len(parts))
 
 
-def votes(parts: list[bytes]) -> int:
-    """64 majority votes over XXH64 (seed 42) of distinct parts."""
+def votes(hashes: np.ndarray) -> int:
+    """64 majority votes over the hashes of distinct parts."""
     total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(parts), _PART):
-        h = _hashes(parts[at : at + _PART])
+    for at in range(0, len(hashes), _PART):
+        h = hashes[at : at + _PART]
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(parts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+_MIX = np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_MIX[1] |= np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS least hashes."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        h = hashes[at : at + 2048] ^ _MIX[0]
+        h *= _MIX[1]
+        np.minimum(low, h.min(axis=1), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in low.reshape(BANDS, ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def _prints(rows: DataFrame) -> DataFrame:
-    """rows with node (hash of the word sequence), n (words), by_word and by_shingle (fingerprints; 0 below 5 words)."""
+    """rows with node (hash of the word sequence), n (words), by_word and by_shingle (fingerprints; 0 below 5 words) and
+    bands (keys; none below 5 words)."""
 
     def make():
         def columns(b: pa.RecordBatch) -> list:
-            out = []
+            out, keys = [], []
             for t in as_bytes(b.column(b.schema.get_field_index("text"))):
                 w = t.lower().split()
-                long = len(w) >= WORDS
-                out.append((xxhash.xxh64_intdigest(b" ".join(w), 7), len(w), votes(list(dict.fromkeys(w))) if long else 0, votes(shingles(t)) if long else 0))
+                node, by_word, by_shingle, key = xxhash.xxh64_intdigest(b" ".join(w), 7), 0, 0, []
+                if len(w) >= WORDS:
+                    h = _hashes(shingles(t))
+                    by_word, by_shingle, key = votes(_hashes(list(dict.fromkeys(w)))), votes(h), bands(h)
+                out.append((node, len(w), by_word, by_shingle))
+                keys.append(key)
             table = np.array(out, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            return list(table.T)
+            return [*table.T, pa.array(keys, pa.list_(pa.int64()))]
 
         return columns
 
-    return appended(rows, "node long, n long, by_word long, by_shingle long", make)
+    return appended(rows, "node long, n long, by_word long, by_shingle long, bands array<long>", make)
 
 
 class Cover:
@@ -244,26 +276,118 @@ def _sets(rows: DataFrame) -> DataFrame:
     return appended(rows, "shingles array<long>", make, keep=["node"])
 
 
-def checked(links: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """links (a, b) whose texts (node, text) have a similarity of least or more."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    sets = written(_sets(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "sets")
+def checked(links: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """links (a, b) whose texts, in sets (node, shingles), have a similarity of least or more."""
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """(met, node): nodes that share a key with others; keys of the same nodes are one."""
+    dealt = nodes.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def give(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[begin, len(key)])
+            mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+            met = np.add.reduceat(mixed, begin) if len(begin) else mixed
+            many = np.repeat(n > 1, n)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(met, n)[many].view(np.int64)), pa.array(node[many])], names=["met", "node"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            if sum(len(x[0]) for x in held) >= 200_000:
+                key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                yield give(key[:cut], node[:cut])
+                held = [(key[cut:], node[cut:])]
+        if held:
+            yield give(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return arrow_map(dealt, run, "met long, node long").distinct()
+
+
+def joining(root: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Places of texts with a similarity of least or more, of different roots: as many links as join all roots that any
+    two texts join. All pairs of different roots are compared."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order])
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    start, label = np.r_[0, np.cumsum(size)], np.unique(root[order], return_inverse=True)[1]
+    here, links = np.zeros(len(ids), dtype=bool), []
+    for i in range(len(size)):
+        end = int(np.searchsorted(size, size[i] / least + 1e-6, side="right"))  # longer ones can't be similar
+        if not (label[i + 1 : end] != label[i]).any():
+            continue
+        own = ids[start[i] : start[i + 1]]
+        here[own] = True
+        shared = np.add.reduceat(here[ids[start[i + 1] : start[end]]], start[i + 1 : end] - start[i + 1], dtype=np.int64)
+        here[own] = False
+        for j in np.flatnonzero(shared >= least * (size[i] + size[i + 1 : end] - shared) - 1e-9) + i + 1:
+            if label[j] != label[i]:
+                links.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def missing(met: DataFrame, root: DataFrame, sets: DataFrame, least: float = LEAST, most: int = APART) -> DataFrame:
+    """Links (a, b) between the groups of root (node, root) that are left: of nodes that met (met, node)."""
+    named = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("met").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    dealt = named.join(apart.select("met", blocks.alias("blocks")), "met").withColumn("own", F.pmod("node", "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    dealt = dealt.select("met", "pair", "node", "root").join(sets, "node").select("met", "pair", "node", "root", "shingles")
+    dealt = dealt.repartition("met", "pair").sortWithinPartitions("met", "pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, node, root, sets = None, [], [], []
+
+        def give() -> pa.RecordBatch:
+            found = joining(np.array(root), sets, least)
+            return pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns[:4]]
+            shingled = b.column(4)
+            cuts, values = shingled.offsets.to_numpy(), shingled.values.to_numpy(zero_copy_only=False)
+            for i, (m, p, x, r) in enumerate(zip(*columns, strict=True)):
+                if (m, p) != now:
+                    if len(sets) > 1:
+                        yield give()
+                    now, node, root, sets = (m, p), [], [], []
+                node.append(x)
+                root.append(r)
+                sets.append(values[cuts[i] : cuts[i + 1]].copy())
+        if len(sets) > 1:
+            yield give()
+
+    return arrow_map(dealt, run, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, h: text hash, root: of the group), a row for each row of docs."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     # a text that is there many times goes through the fingerprints once for each copy; rows stay where they are
     prints = written(_prints(rows).drop("text"), "prints")
-    nodes = prints.where(F.col("n") >= WORDS).groupBy("node").agg(F.min("by_word").alias("by_word"), F.min("by_shingle").alias("by_shingle"))
-    links = written(candidates(written(nodes, "nodes"), hot), "candidates")
+    nodes = written(prints.where(F.col("n") >= WORDS).groupBy("node").agg(F.min("by_word").alias("by_word"), F.min("by_shingle").alias("by_shingle"), F.first("bands").alias("bands")), "nodes")
+    links = written(candidates(nodes, hot), "candidates")
+    met = written(_met(nodes), "met")
     named = prints.select("h", "node").distinct()
-    wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    few = named.join(wanted, "node", "left_semi").groupBy("h").agg(F.min("node").alias("node"))
+    wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(met.select("node")).distinct()
+    few = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).groupBy("h").agg(F.min("node").alias("node"))
     texts = rows.select("h", "text").join(few, "h").select("node", "text")
-    root = components(checked(links, texts, least))
+    sets = written(_sets(texts.groupBy("node").agg(F.min("text").alias("text"))), "sets")
+    root = components(checked(links, sets, least))
+    more = written(missing(met, root, sets, least, min(hot, APART)), "missing")
+    if not more.isEmpty():
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     found = prints.select("doc_id", "h", "node").join(root, "node", "left")
     return found.select("doc_id", "h", F.coalesce("root", "node").alias("root"))
