@@ -459,6 +459,20 @@ def test_near_copies_with_blocks_of_edits(spark):
     same_groups(spark, {i: " ".join(w) for i, w in enumerate(texts)})
 
 
+@pytest.mark.parametrize("hot", [similar.HOT, 30])
+def test_near_copies_among_texts_that_share_a_passage(spark, hot):
+    """Pairs below the bound that chain two copies don't hide the copies' link."""
+    rng = random.Random(7)
+    noise = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, texts = noise(400), []
+    for k in range(120):
+        w = passage + noise(60)
+        texts.append(w)
+        if k % 4 == 0:  # about 0.82
+            texts.append([*passage, *w[400:420], *noise(40)])
+    same_groups(spark, {i: " ".join(w) for i, w in enumerate(texts)}, hot)
+
+
 def test_representatives(spark, odd):
     for found in (simhash.near_duplicates(odd), similar.similar(odd)):
         got = simhash.representatives(odd, found).collect()
