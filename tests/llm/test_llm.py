@@ -88,6 +88,30 @@ def test_lm_model_is_a_distribution():
         assert (10 ** m.log10(np.arange(30), np.full(30, a), np.full(30, b))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_trains_on_every_text(spark, monkeypatch):
+    """Rounds together hold every row, at any size, and what is trained follows the input."""
+    d = docs(spark).select("doc_id", "text")
+    for n in (10_000, 1_800_000, 10**9):
+        parts = [lm.window(d, k, n) for k in range(lm.EPOCHS)]
+        met = Counter(r["doc_id"] for p in parts for r in p.select("doc_id").collect())
+        assert met.keys() == {r["doc_id"] for r in d.select("doc_id").collect()}
+        assert set(met.values()) == {min(6, max(1, round(6 * lm.EPOCH_TOKENS / n)))}
+    seen = []
+    monkeypatch.setattr(lm, "train_all", lambda docs, scorer, counts, text: seen.append((docs.count(), counts)) or lm.begun(counts).model())
+    scorer, n = lm.fit(d, lm.word_counts(d))
+    c = Counter(w for r in d.collect() for w in r["text"].encode().lower().split())
+    want = [c[w] for w in scorer.words.split(b" ")[: scorer.top]]
+    assert seen[0][0] == d.count() and list(seen[0][1][: scorer.top]) == want and seen[0][1].sum() == n
+
+
+def test_lm_null_and_repeated_texts_enter_at_their_share(spark):
+    rows = [(i, None if i % 3 == 0 else "a text that is there often" if i % 3 == 1 else f"text {i}") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in range(lm.EPOCHS):
+        got = lm.window(d, k, 10**9).groupBy(F.col("doc_id") % 3).count().collect()
+        assert len(got) == 3 and all(abs(r["count"] - 2000 / 6) < 100 for r in got)
+
+
 # --- secrets
 def base(text):
     out = []

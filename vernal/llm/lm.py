@@ -4,8 +4,11 @@ The corpus gives exact counts of all training words (a distributed count, its si
 model's classes are the TOP most frequent words, BUCKETS groups of all other words by their last two bytes,
 and the end of a text. From embeddings r of the two classes before, a class w has the score
     s(w) = q_w . (C1 r_1 + C2 r_2) + b_w,
-trained in numpy by noise-contrastive estimation on a bounded sample of training texts. Scores are then
-normalised exactly: the sums over all classes for every pair of classes before are one product of two
+trained in numpy by noise-contrastive estimation on all training texts: biases and noise are of the exact counts,
+and in each of EPOCHS rounds every partition trains from the same weights on its share of the round's texts, and
+the weights are averaged by tokens. A round takes a window of the rows by hash, a sixth of them or more where
+EPOCH_TOKENS needs more, and the windows of all rounds hold every row; so training grows with the input, and null
+or repeated texts enter at their share. What stays fixed is the size of the model. Scores are then normalised exactly: the sums over all classes for every pair of classes before are one product of two
 matrices, as exp(s) factors. A word in a bucket further has its smoothed share (c + 0.1) / (N_b + 0.1 (V_b + 1))
 of the bucket, so the model is a normalised distribution over all words, unseen ones included.
 
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 from vernal.llm.common import arrow_map, as_bytes, remainder, whole_text, written
 
 TOP, BUCKETS, HOT = 1_791, 256, 200_000
-#: Expected size of the sample of training texts that the model is fitted on, picked by hash.
-SAMPLE_DOCS = 2_500
 DIM, NOISE, BATCH, EPOCHS, RATE = 32, 128, 2048, 6, 0.05
-#: Tokens of the sample used at most in an epoch; each epoch draws its own.
+#: Tokens of a round at least, where there are so many; more where a sixth of all are more.
 EPOCH_TOKENS = 600_000
+#: Tokens that a task holds at a time, and that a task of a round has at least where partitions are small.
+HELD, TASK_TOKENS = 1_000_000, 100_000
 ALPHA = 0.1
 _FLUSH = 300_000
 _PIECE = 1 << 20
@@ -97,10 +100,47 @@ def normalised(first: np.ndarray, second: np.ndarray) -> Model:
     return Model(first, second, log_sum)
 
 
-def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
-    """Noise-contrastive estimation; texts: classes of the words and the end (the last class)."""
-    rng = np.random.default_rng(seed)
-    start = classes
+@dataclass
+class Weights:
+    """What is trained: r, q, b, c1, c2, and the sums of squares of their gradients."""
+
+    params: list[np.ndarray]
+    squares: list[np.ndarray]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.params, *self.squares)])
+
+    def like(self, flat: np.ndarray) -> Weights:
+        """Weights of these shapes from one array."""
+        shapes = [x.shape for x in (*self.params, *self.squares)]
+        parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(x) for x in shapes])[:-1])
+        parts = [p.reshape(x).copy() for p, x in zip(parts, shapes, strict=True)]
+        return Weights(parts[:5], parts[5:])
+
+    def model(self) -> Model:
+        r, q, b, c1, c2 = self.params
+        return normalised((r @ c1) @ q.T + b, (r @ c2) @ q.T)
+
+
+def noise_law(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
+
+
+def begun(counts: np.ndarray, seed: int = 1) -> Weights:
+    """Weights before training, from the counts of the classes."""
+    classes = len(counts)
+    r = np.random.default_rng(seed).normal(0, 0.1, (classes + 1, DIM)).astype(np.float32)
+    params = [r, np.zeros((classes, DIM), np.float32), np.log(noise_law(counts)).astype(np.float32), np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32)]
+    return Weights(params, [np.full_like(p, 1e-4) for p in params])
+
+
+def rate_of(epoch: int) -> float:
+    return RATE * (1 - 0.8 * epoch / EPOCHS)
+
+
+def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate: float, rng: np.random.Generator) -> int:
+    """Trains the weights in place, once over the texts; the number of tokens."""
+    start = classes = len(counts)
     w, one, two = [], [], []
     for t in texts:
         x = np.r_[start, start, t].astype(np.int32)
@@ -108,47 +148,93 @@ def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
         one.append(x[1:-1])
         two.append(x[:-2])
     if not w:
-        return normalised(np.zeros((classes + 1, classes)), np.zeros((classes + 1, classes)))
+        return 0
     w, one, two = np.concatenate(w), np.concatenate(one), np.concatenate(two)
-    noise = (np.bincount(w, minlength=classes) + 0.5) / (len(w) + 0.5 * classes)
+    noise = noise_law(counts)
     cut = np.cumsum(noise)
     log_noise = np.log(NOISE * noise).astype(np.float32)
-    r = rng.normal(0, 0.1, (classes + 1, DIM)).astype(np.float32)
-    q = np.zeros((classes, DIM), np.float32)
-    b = np.log(noise).astype(np.float32)
-    c1, c2 = np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32)
-    params = [r, q, b, c1, c2]
-    squares = [np.full_like(p, 1e-4) for p in params]
-
-    def step(p: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float) -> None:
+    r, q, b, c1, c2 = weights.params
+
+    def step(p: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
         s += g * g
         p -= rate * g / np.sqrt(s)
 
+    order = rng.permutation(len(w))
+    for at in range(0, len(order), BATCH):
+        i = order[at : at + BATCH]
+        x, y1, y2 = w[i], one[i], two[i]
+        r1, r2 = r[y1], r[y2]
+        h = r1 @ c1 + r2 @ c2
+        z = np.minimum(np.searchsorted(cut, rng.random(NOISE)), classes - 1)  # shared by the batch
+        true = np.einsum("ij,ij->i", h, q[x]) + b[x] - log_noise[x]
+        false = h @ q[z].T + b[z] - log_noise[z]
+        g_true = (1 / (1 + np.exp(-true)) - 1) / len(i)
+        g_false = 1 / (1 + np.exp(-false)) / len(i)
+        g_h = g_true[:, None] * q[x] + g_false @ q[z]
+        g_q, g_b = np.zeros_like(q), np.zeros_like(b)
+        _add_rows(g_q, x, g_true[:, None] * h)
+        np.add.at(g_q, z, g_false.T @ h)
+        g_b += np.bincount(x, weights=g_true, minlength=classes).astype(np.float32)
+        np.add.at(g_b, z, g_false.sum(axis=0))
+        g_r = np.zeros_like(r)
+        _add_rows(g_r, y1, g_h @ c1.T)
+        _add_rows(g_r, y2, g_h @ c2.T)
+        for p, s, g in zip(weights.params, weights.squares, (g_r, g_q, g_b, r1.T @ g_h, r2.T @ g_h), strict=True):
+            step(p, s, g.astype(np.float32))
+    return len(w)
+
+
+def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
+    """The model of texts that are here; texts: classes of the words and the end (the last class)."""
+    counts = np.bincount(np.concatenate(texts), minlength=classes) if texts else np.zeros(classes)
+    weights, rng = begun(counts, seed), np.random.default_rng(seed)
+    for epoch in range(EPOCHS):
+        trained(weights, texts, counts, rate_of(epoch), rng)
+    return weights.model()
+
+
+def window(docs: DataFrame, epoch: int, n: int) -> DataFrame:
+    """The rows of a round, of n tokens in all. Hashes are of the whole row, so that null or repeated texts are dealt like others."""
+    share = min(1.0, max(1 / EPOCHS, EPOCH_TOKENS / max(n, 1)))
+    size = 1 << 30
+    first, width = size * epoch // EPOCHS, math.ceil(size * share)
+    return docs.where(F.pmod(F.pmod(F.xxhash64(*docs.columns), F.lit(size)) - first, F.lit(size)) < width)
+
+
+def train_all(docs: DataFrame, scorer: Scorer, counts: np.ndarray, text: str = "text") -> Model:
+    """The model of all texts: rounds of training in the partitions, averaged."""
+    weights, n, sc = begun(counts), int(counts.sum()), docs.sparkSession.sparkContext
+    if not n:
+        return weights.model()
+    shared = sc.broadcast(scorer)
+    rows = docs.withColumn(text, whole_text(text))
+    share = min(1.0, max(1 / EPOCHS, EPOCH_TOKENS / n))
+    tasks = max(1, int(n * share / TASK_TOKENS))  # coalesce() never makes more than there are
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - 0.8 * epoch / EPOCHS)
-        order = rng.permutation(len(w))[:EPOCH_TOKENS]
-        for at in range(0, len(order), BATCH):
-            i = order[at : at + BATCH]
-            x, y1, y2 = w[i], one[i], two[i]
-            r1, r2 = r[y1], r[y2]
-            h = r1 @ c1 + r2 @ c2
-            z = np.minimum(np.searchsorted(cut, rng.random(NOISE)), classes - 1)  # shared by the batch
-            true = np.einsum("ij,ij->i", h, q[x]) + b[x] - log_noise[x]
-            false = h @ q[z].T + b[z] - log_noise[z]
-            g_true = (1 / (1 + np.exp(-true)) - 1) / len(i)
-            g_false = 1 / (1 + np.exp(-false)) / len(i)
-            g_h = g_true[:, None] * q[x] + g_false @ q[z]
-            g_q, g_b = np.zeros_like(q), np.zeros_like(b)
-            _add_rows(g_q, x, g_true[:, None] * h)
-            np.add.at(g_q, z, g_false.T @ h)
-            g_b += np.bincount(x, weights=g_true, minlength=classes).astype(np.float32)
-            np.add.at(g_b, z, g_false.sum(axis=0))
-            g_r = np.zeros_like(r)
-            _add_rows(g_r, y1, g_h @ c1.T)
-            _add_rows(g_r, y2, g_h @ c2.T)
-            for p, s, g in zip(params, squares, (g_r, g_q, g_b, r1.T @ g_h, r2.T @ g_h), strict=True):
-                step(p, s, g.astype(np.float32), rate)
-    return normalised((r @ c1) @ q.T + b, (r @ c2) @ q.T)
+        now = sc.broadcast(weights)
+
+        def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch, now=now) -> Iterator[pa.RecordBatch]:
+            s, own = shared.value, now.value.like(now.value.flat())
+            rng = np.random.default_rng((epoch, TaskContext.get().partitionId()))
+            end, done, held, texts = len(counts) - 1, 0, 0, []
+            for b in batches:
+                for t in as_bytes(b.column(0)):
+                    texts.append(np.r_[s.classes(t.lower().split())[1], end].astype(np.int32))
+                    held += len(texts[-1])
+                    if held >= HELD:
+                        done += trained(own, texts, counts, rate_of(epoch), rng)
+                        held, texts = 0, []
+            done += trained(own, texts, counts, rate_of(epoch), rng)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
+
+        total, tokens = np.zeros(len(weights.flat())), 0
+        for r in written(arrow_map(window(rows, epoch, n).select(text).coalesce(tasks), run, "n long, weights binary"), "weights").toLocalIterator():
+            total += r["n"] * np.frombuffer(r["weights"], dtype=np.float32)
+            tokens += r["n"]
+        weights = weights.like(total / tokens) if tokens else weights
+        now.unpersist()
+    return weights.model()
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -249,11 +335,7 @@ def fit(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> tuple[Sco
     empty = Model(np.zeros((1, 1)), np.zeros((1, 1)), np.zeros((1, 1)))
     scorer = Scorer(empty, b" ".join(words), hot_class, np.log10(counts + ALPHA) - log_tokens, share, top, math.log10(n_docs + ALPHA) - log_tokens, log_tokens, log_bucket, int(n_docs > 0))
     del words
-    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(n_docs, 1))))
-    end = top + BUCKETS
-    texts = [np.r_[scorer.classes((r["t"] or "").encode().lower().split())[1], end].astype(np.int32) for r in picked.select(F.col(text).cast("string").alias("t")).sort("t").toLocalIterator()]
-    scorer.__dict__.pop("hot", None)
-    scorer.model = train(texts, end + 1)
+    scorer.model = train_all(docs, scorer, np.r_[counts[:top], in_n, n_docs], text)
     return scorer, n
 
 
