@@ -149,6 +149,19 @@ def test_html_article():
     assert html.extract("<b>" * 20000 + "x") == "x"
 
 
+def test_html_article_in_unequal_sections():
+    p = lambda n, c: f"<p>{(c * 9 + ' ') * (n // 10)}</p>"
+    sections = [[p(500, c) for c in "abcde"], [p(500, "f")], [p(60, "g")], ["<h3>head</h3>", p(30, "h")]]
+    want = "\n".join(" ".join(re.sub("<[^>]*>", " ", x).split()) for s in sections for x in s)
+    body = "".join(f"<section>{''.join(s)}</section>" for s in sections)
+    links = "<div><a href=a>One more page</a> | <a href=b>Another page</a></div>"
+    assert html.extract(f"<body><div>{body}</div></body>") == want
+    assert html.extract(f"<body><nav><a href=x>no</a></nav>{links}<div>{body}</div><a href=y>up</a> <footer>no</footer></body>") == want
+    # sections under different parents, and text beside them
+    parts = [f"<div><section>{''.join(s)}</section></div>" for s in sections]
+    assert html.extract(f"<body>{''.join(parts)}and <a href=z>a word</a> at the end</body>") == want + "\nand a word at the end"
+
+
 def test_html_pages(spark):
     for r in html.op3_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         a = re.search(r"<article>(.*?)(?:</article>|<footer>)", r["html"], re.S)[1]

@@ -7,9 +7,9 @@ links below it (Cb, LCb: of the body),
     density = C/T * log(C/LC * T/LT) / log(ln(C/(C-LC) * LC + LCb/Cb * C + e))
 
 which is high for long texts with few tags and few links. A node's density sum is the sum of its children's
-densities. The node with the greatest sum is the main one; the least density on the path from it to the body
-is the threshold, and siblings that reach it and hold a comparable sum are part of the article too. A
-semantic container (article, main) around the node is taken whole. Navigation, headers, footers, asides,
+densities. The node with the greatest sum is the main one. A semantic container (article, main) around it is taken
+whole; on pages without, all that lies beside the path from it to the body is part of the article too, in page
+order, but for what is links for the most part. Navigation, headers, footers, asides,
 forms, adverts, notices and reader comments are left out by element, role and class words, and link lists
 inside the article by their share of links.
 
@@ -207,10 +207,27 @@ def main_nodes(root: Node) -> list[Node]:
     if best.name in ("p", "a", "b", "i", "em", "strong", "span") and best.parent is not None and best is not body:
         best = best.parent
         path = path[1:]
-    threshold = min(n.density for n in path)
-    if best is body or best.parent is None:
-        return [best]
-    return [n for n in best.parent.children if not isinstance(n, str) and not n.kind and (n is best or (n.density >= threshold and n.total >= 0.25 * best.total) or (n.name in ("h1", "h2") and n.chars))]
+    _drop_links(path)
+    return [path[-1]]
+
+
+def _drop_links(path: list[Node]) -> None:
+    """Beside the path: elements, and runs of text and inline elements, that are links for the most part become noise."""
+    on = {id(n) for n in path}
+    for parent in path[1:]:
+        runs: list[list] = [[]]
+        for c in parent.children:
+            if isinstance(c, str) or (c.name not in BLOCK and id(c) not in on):
+                runs[-1].append(c)
+            else:
+                runs += [[], []] if id(c) in on else [[c], []]
+        left_out = set()
+        for run in runs:
+            live = [c for c in run if isinstance(c, str) or not c.kind]
+            chars = sum(len(" ".join(html.unescape(c).split())) if isinstance(c, str) else c.chars for c in live)
+            if 2 * sum(c.link_chars for c in live if not isinstance(c, str)) > chars:
+                left_out |= {id(c) for c in live}
+        parent.children = [c for c in parent.children if id(c) not in left_out]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
