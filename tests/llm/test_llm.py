@@ -582,6 +582,14 @@ def test_ppm_pieces(monkeypatch):
     assert m.cost(t) == pytest.approx(whole)
 
 
+def test_every_language_has_statistics(spark):
+    """A few texts, each far longer than its language's share."""
+    rows = [(f"l{k}", " ".join([f"word{k}", "abcdefghij"[k] * 5]) * 4000) for k in range(10)]
+    m = language_id.fit(spark.createDataFrame(rows, "lang string, text string"), sample_bytes=2000)
+    assert m.languages == [f"l{k}" for k in range(10)]
+    assert m.cost([t[:500].encode() for _, t in rows]).argmax(axis=1).tolist() == list(range(10))
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = language_id.op10_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

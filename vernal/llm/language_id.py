@@ -173,7 +173,8 @@ def train(samples: dict[str, list[bytes]]) -> Ppm:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: int = SAMPLE_BYTES) -> Ppm:
-    """Statistics from labelled rows. Each language gives an equal share of ``sample_bytes`` at most, as whole texts picked by hash."""
+    """Statistics from labelled rows. Each language gives an equal share of ``sample_bytes`` at most, as whole texts picked by hash;
+    where that picks none, the text of least hash gives its first bytes, so no language is without statistics."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if not sizes:
@@ -184,7 +185,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: i
     samples: dict[str, list[bytes]] = {k: [] for k in sizes}
     for r in picked.sort("lang", "text").toLocalIterator():
         samples[r["lang"]].append(r["text"].encode())
-    return train({k: x for k, x in samples.items() if x})
+    if missing := [k for k, x in samples.items() if not x]:
+        most = max(int(share), 1)
+        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.substring("text", 1, most), F.xxhash64("text", "lang")).alias("text"))
+        for r in first.toLocalIterator():
+            samples[r["lang"]].append(r["text"].encode()[:most])
+    return train(samples)
 
 
 def identify(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
