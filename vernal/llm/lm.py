@@ -143,7 +143,8 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
     start = classes = len(counts)
     w, one, two = [], [], []
     for t in texts:
-        x = np.r_[start, start, t].astype(np.int32)
+        x = np.full(len(t) + 2, start, dtype=np.int32)
+        x[2:] = t
         w.append(x[2:])
         one.append(x[1:-1])
         two.append(x[:-2])
@@ -157,7 +158,9 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
 
     def step(p: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
         s += g * g
-        p -= rate * g / np.sqrt(s)
+        g *= rate
+        g /= np.sqrt(s)
+        p -= g
 
     order = rng.permutation(len(w))
     for at in range(0, len(order), BATCH):
@@ -167,9 +170,13 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
         h = r1 @ c1 + r2 @ c2
         z = np.minimum(np.searchsorted(cut, rng.random(NOISE)), classes - 1)  # shared by the batch
         true = np.einsum("ij,ij->i", h, q[x]) + b[x] - log_noise[x]
-        false = h @ q[z].T + b[z] - log_noise[z]
         g_true = (1 / (1 + np.exp(-true)) - 1) / len(i)
-        g_false = 1 / (1 + np.exp(-false)) / len(i)
+        g_false = h @ -q[z].T  # 1 / (1 + exp(-score)) / len(i), in place
+        g_false -= b[z] - log_noise[z]
+        np.exp(g_false, out=g_false)
+        g_false += 1
+        g_false *= len(i)
+        np.reciprocal(g_false, out=g_false)
         g_h = g_true[:, None] * q[x] + g_false @ q[z]
         g_q, g_b = np.zeros_like(q), np.zeros_like(b)
         _add_rows(g_q, x, g_true[:, None] * h)
@@ -180,7 +187,7 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
         _add_rows(g_r, y1, g_h @ c1.T)
         _add_rows(g_r, y2, g_h @ c2.T)
         for p, s, g in zip(weights.params, weights.squares, (g_r, g_q, g_b, r1.T @ g_h, r2.T @ g_h), strict=True):
-            step(p, s, g.astype(np.float32))
+            step(p, s, g.astype(np.float32, copy=False))
     return len(w)
 
 
@@ -219,7 +226,9 @@ def train_all(docs: DataFrame, scorer: Scorer, counts: np.ndarray, text: str = "
             end, done, held, texts = len(counts) - 1, 0, 0, []
             for b in batches:
                 for t in as_bytes(b.column(0)):
-                    texts.append(np.r_[s.classes(t.lower().split())[1], end].astype(np.int32))
+                    c = s.classes(t.lower().split())[1]
+                    texts.append(np.full(len(c) + 1, end, dtype=np.int32))
+                    texts[-1][:-1] = c
                     held += len(texts[-1])
                     if held >= HELD:
                         done += trained(own, texts, counts, rate_of(epoch), rng)
@@ -239,7 +248,7 @@ def train_all(docs: DataFrame, scorer: Scorer, counts: np.ndarray, text: str = "
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """out[at] += rows, with repeats summed."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")  # radix sort
     a = at[order]
     begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
     out[a[begin]] += np.add.reduceat(rows[order], begin, axis=0)
