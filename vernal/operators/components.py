@@ -8,23 +8,15 @@ single task. The label of a component is its least pixel number, row * 2^31 + co
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TILE = 1024
-
+from vernal.sources.scratch import written
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"/tmp/checkpoints/vernal-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+TILE = 1024
 
 
 def label_pixels(row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -61,7 +53,7 @@ def label_pixels(row: np.ndarray, col: np.ndarray) -> np.ndarray:
 
 def _roots(links: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
     """(keys, a, b) to (keys, label, root), star contraction."""
-    now = _written(links.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = written(links.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "labels")
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
@@ -69,7 +61,7 @@ def _roots(links: DataFrame, keys: list[str], rounds: int = 50) -> DataFrame:
         big = both.join(low, [*keys, "a"]).where("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = big.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         small = big.join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(*keys, "a", F.col("m").alias("b")))
-        now = _written(small.where("a <> b").distinct())
+        now = written(small.where("a <> b").distinct(), "labels")
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first())
         if got == mark:
             return now.select(*keys, F.col("a").alias("label"), F.col("b").alias("root"))
@@ -87,13 +79,13 @@ def components(px: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
 
     labelled = t.groupBy(*keys, "__tr", "__tc").applyInPandas(one, schema)
     # pixels at the borders of tiles, and their neighbours in another tile
-    labelled = _written(labelled)
+    labelled = written(labelled, "tiles")
     rim = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
     edge = labelled.where(rim("row") | rim("col"))
     near = edge.withColumn("dr", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dc", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.select(*keys, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.col("label").alias("b"), F.col("__tr").alias("tr"), F.col("__tc").alias("tc"))
     links = edge.join(near, [*keys, "row", "col"]).where("__tr <> tr OR __tc <> tc").select(*keys, F.col("label").alias("a"), "b").distinct()
-    links = _written(links)
+    links = written(links, "links")
     out = labelled.drop("__tr", "__tc")
     if links.isEmpty():
         return out

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernal.config import COVER, Thresholds
 from vernal.functions.geo import edge_distance, inside
-from vernal.operators.components import components
-from vernal.operators.focal import closed, opened
+from vernal.operators.focal import TILE, grown, on_masks, shrunk, without_small
 
 PX = ["site", "row", "col"]
 CLASSES = {"wet": ("wet", "very_wet"), "dry": ("dry", "very_dry"), "normal": ("normal",)}
@@ -41,21 +41,21 @@ def raw_extents(masks: DataFrame, thr: Thresholds = Thresholds()) -> DataFrame:
     return g.select("site", F.explode(subsets).alias("subset"), "row", "col")
 
 
-def clean(mask: DataFrame, grid: DataFrame, pixel: float, thr: Thresholds = Thresholds()) -> DataFrame:
-    """Small holes filled, one opening and closing, slivers removed - for all subsets at once."""
-    keys = ["site", "subset"]
+def clean(mask: DataFrame, grid: DataFrame, pixel: float, thr: Thresholds = Thresholds(), tile: int = TILE) -> DataFrame:
+    """Small holes filled, one opening and closing, slivers removed - for all subsets at once, in one shuffle.
+
+    A part of fewer than k pixels lies within k pixels of each of its pixels, and a part that reaches further has k
+    or more of them in the window: so small holes and slivers are known from a halo of their largest size."""
     hole, least = thr.area_px(thr.fill_hole_area_m2, pixel), thr.area_px(thr.min_wetland_area_m2, pixel)
-    if hole > 1:
-        full = mask.select(*keys).distinct().join(grid, "site")
-        full = full.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1))).select(*keys, "row", "col")
-        back = components(full.join(mask, [*keys, "row", "col"], "left_anti"), keys)
-        small = back.groupBy(*keys, "label").count().where(F.col("count") < hole)
-        mask = mask.unionByName(back.join(small, [*keys, "label"], "left_semi").select(*keys, "row", "col"))
-    mask = closed(opened(mask, keys, grid), keys, grid)
-    if least > 1:
-        c = components(mask, keys)
-        mask = c.join(c.groupBy(*keys, "label").count().where(F.col("count") >= least), [*keys, "label"], "left_semi").select(*keys, "row", "col")
-    return mask
+
+    def one(m: np.ndarray) -> np.ndarray:
+        if hole > 1:
+            back = ~m
+            m = m | (back & ~without_small(back, hole))
+        m = shrunk(grown(grown(shrunk(m))))
+        return without_small(m, least) if least > 1 else m
+
+    return on_masks(mask, ["site", "subset"], grid, hole + 4 + least, one, tile)
 
 
 def extent_by_year(masks: DataFrame, extent: DataFrame, pixel: float, water_years: DataFrame | None = None) -> DataFrame:

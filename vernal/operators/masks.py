@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vernal.config import Thresholds
 from vernal.functions.raster import flag, steps
-from vernal.operators.focal import box_sums, densify, dilate
+from vernal.operators.focal import box_sums, dilate
 
 KEY = ["site", "year", "row", "col"]
 
@@ -24,12 +24,13 @@ def vegetation_flags(flags: DataFrame, grid: DataFrame, static: DataFrame | None
     """flags with veg (wetter than its surroundings) and moist (the absolute test), before the landscape test.
 
     Years without short-wave infrared have neither and are left out of the windows. NDMI is taken in whole
-    steps so that the comparison with the local mean is exact."""
+    steps so that the comparison with the local mean is exact. flags is read twice: it should be a table, or
+    cheap to compute from one."""
     r = thr.radius_px(thr.wetveg_window_m, pixel)
-    late = flags.where(~F.col("is_mss")).select(*KEY, F.round("ndmi").cast("long").alias("ndmi"))
-    dense = densify(late, grid, ["site", "year"], late.select("site", "year").distinct())
-    box = box_sums(dense, "ndmi", r, ["site", "year"]).where("ndmi IS NOT NULL").select(*KEY, "box_sum", "box_n")
-    f = flags.join(box, KEY, "left")
+    late = flags.where(~F.col("is_mss")).withColumn("__step", F.round("ndmi").cast("long"))
+    late = late.join(grid.select("site", "n_rows", "n_cols"), "site").select(*flags.columns, "__step", "n_rows", "n_cols")
+    box = box_sums(late, "__step", r, ["site", "year"]).drop("__step", "n_rows", "n_cols")
+    f = flags.where("is_mss").unionByName(box, allowMissingColumns=True)
     dry = F.col("obs_late") & ~F.col("w_late") & ~F.col("is_mss") & flag(F.col("ndvi") > steps(thr.ndvi_veg_min))
     n = F.round(F.col("ndmi")).cast("long")
     anomaly = flag(n * F.col("box_n") - F.col("box_sum") > F.lit(steps(thr.ndmi_anomaly)) * F.col("box_n"))
@@ -46,12 +47,13 @@ def vegetation_flags(flags: DataFrame, grid: DataFrame, static: DataFrame | None
     return f.drop("__bad", "box_sum", "box_n")
 
 
-def support(flags: DataFrame, static: DataFrame | None, grid: DataFrame, pixel: float, peat: bool = False, thr: Thresholds = Thresholds()) -> DataFrame:
+def support(flags: DataFrame, static: DataFrame | None, grid: DataFrame, pixel: float, peat: bool | Column = False, thr: Thresholds = Thresholds()) -> DataFrame:
     """(site, row, col) where wet vegetation may stand: persistent over all observed late years and near water
     (ever seen, mapped as water or herbaceous wetland, or with recorded occurrence), or persistent moisture
-    under peat cover where the region is of that kind."""
+    under peat cover where the region is of that kind (peat: of all sites, or a column of flags)."""
     key = ["site", "row", "col"]
-    p = flags.groupBy(*key).agg(F.count_if("obs_late").alias("n"), F.count_if("veg").alias("v"), F.count_if("moist").alias("m"), F.max(F.col("w_spr") | F.col("w_late")).alias("water"))
+    of_peat = F.lit(peat) if isinstance(peat, bool) else peat
+    p = flags.groupBy(*key).agg(F.count_if("obs_late").alias("n"), F.count_if("veg").alias("v"), F.count_if("moist").alias("m"), F.max(F.col("w_spr") | F.col("w_late")).alias("water"), F.max(of_peat).alias("peat"))
     s = static.select(*key, *[c for c in ("worldcover", "jrc_occurrence") if c in static.columns]) if static is not None else None
     wet = p.where("water").select(*key)
     if s is not None:
@@ -65,16 +67,17 @@ def support(flags: DataFrame, static: DataFrame | None, grid: DataFrame, pixel:
     p = p.join(near, key, "left")
     least = thr.wetveg_min_persistence
     keep = flag(F.col("v") >= least * F.col("n")) & (F.col("n") > 0) & F.col("near").isNotNull()
-    if peat and s is not None and "worldcover" in s.columns:
+    if peat is not False and s is not None and "worldcover" in s.columns:
         p = p.join(s.select(*key, "worldcover"), key, "left")
-        keep = keep | (flag(F.col("m") >= least * F.col("n")) & (F.col("n") > 0) & flag(F.col("worldcover").isin(10, 20, 90)))
+        keep = keep | (flag(F.col("peat")) & flag(F.col("m") >= least * F.col("n")) & (F.col("n") > 0) & flag(F.col("worldcover").isin(10, 20, 90)))
     return p.where(keep).select(*key)
 
 
-def final_masks(flags: DataFrame, supported: DataFrame, peat: bool = False) -> DataFrame:
+def final_masks(flags: DataFrame, supported: DataFrame, peat: bool | Column = False) -> DataFrame:
     """flags with veg after the landscape test, obs and wet."""
     f = flags.join(supported.withColumn("__keep", F.lit(True)), ["site", "row", "col"], "left")
-    veg = (F.col("veg") | F.col("moist") if peat else F.col("veg")) & F.col("__keep").isNotNull()
+    of_peat = F.lit(peat) if isinstance(peat, bool) else flag(peat)
+    veg = (F.col("veg") | (F.col("moist") & of_peat)) & F.col("__keep").isNotNull()
     f = f.withColumn("veg", veg).drop("__keep")
     # without short-wave infrared veg is never set, so a switch for those years would change nothing
     return f.withColumns({"obs": F.col("obs_spr") | F.col("obs_late"), "wet": F.col("w_spr") | F.col("w_late") | F.col("veg")})

@@ -15,12 +15,20 @@ MIN_DAYS = 25
 
 
 def gridded_monthly(points: DataFrame, sites: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """points (lon, lat, month, p_m: metres) and sites (site, lon, lat) to (site, month, precip_mm): mean within a radius."""
+    """points (lon, lat, month, p_m: metres) and sites (site, lon, lat) to (site, month, precip_mm): mean within a radius.
+
+    One-degree cells make the range join an equi-join; a site is in all cells that its radius can reach, which are more
+    of longitude the further from the equator, and cells go on across the 180th meridian."""
+    reach = F.lit(float(radius_km)) / 111.0
+    wide = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians("__lat")), F.lit(1e-6)))
+    cells = lambda c, r: F.sequence(F.floor(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))
+    around = lambda c: F.pmod(c, F.lit(360))
     s = sites.select("site", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
-    cell = lambda c: F.floor(c)  # noqa: E731  one-degree cells make the range join an equi-join
-    near = s.withColumn("__cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col("__lon")) + d))).withColumn("__cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col("__lat")) + d)))
-    p = points.where("p_m IS NOT NULL").withColumn("__cx", cell(F.col("lon"))).withColumn("__cy", cell(F.col("lat")))
-    j = p.join(near, ["__cx", "__cy"]).where(degrees_apart(F.col("__lon"), F.col("__lat"), F.col("lon"), F.col("lat")) <= radius_km)
+    near = s.withColumn("__cy", F.explode(cells("__lat", reach))).withColumn("__cx", F.explode(F.array_distinct(F.transform(cells("__lon", wide), around))))
+    p = points.where("p_m IS NOT NULL").withColumn("__cx", around(F.floor("lon").cast("int"))).withColumn("__cy", F.floor("lat").cast("int"))
+    j = p.join(near, ["__cx", "__cy"])
+    east = F.col("__lon") + F.pmod(F.col("lon") - F.col("__lon") + 180, F.lit(360.0)) - 180  # the point's longitude on the site's side
+    j = j.where(degrees_apart(F.col("__lon"), F.col("__lat"), F.when(F.abs(F.col("lon") - F.col("__lon")) > 180, east).otherwise(F.col("lon")), F.col("lat")) <= radius_km)
     return j.groupBy("site", "month").agg((F.avg("p_m") * 1000).alias("precip_mm"))
 
 
@@ -39,7 +47,8 @@ def nearest_stations(sites: DataFrame, stations: DataFrame, radius_km: float = 7
 
 
 def station_monthly(daily: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
-    """(station, day, p) to months with enough days."""
+    """(station, day, p) to months with enough days. A day that is there more than once counts once towards them: it is
+    days that make a month complete, not readings; the sum has all readings."""
     g = daily.where("p IS NOT NULL").groupBy("station", F.trunc("day", "MM").alias("month")).agg(F.sum("p").alias("p"), F.countDistinct("day").alias("n_days"))
     return g.where(F.col("n_days") >= min_days)
 
@@ -68,6 +77,18 @@ def spi(monthly: DataFrame, k: int, series: str = "series", order: str = "month"
     return r.groupBy("series").applyInPandas(one, f"series string, month {r.schema['month'].dataType.simpleString()}, spi double")
 
 
+def spi_years(monthly: DataFrame, cfg: Precip = Precip(), series: str = "series") -> DataFrame:
+    """(series, year, month, p) to (series, water_year, spi12, spi24): the index of 12- and 24-month totals in the last
+    month of each water year, to two places; no row where that month has no record."""
+    m = monthly.where("p IS NOT NULL").select(F.col(series).cast("string").alias("series"), F.make_date("year", "month", F.lit(1)).alias("month"), F.col("p").cast("double").alias("p"))
+    out = None
+    for k in (12, 24):
+        z = spi(m, k).where(F.month("month") == (cfg.water_year_start_month + 10) % 12 + 1)
+        z = z.select("series", water_year(F.year("month"), F.month("month"), cfg.water_year_start_month).alias("water_year"), F.bround("spi", 2).alias(f"spi{k}"))
+        out = z if out is None else out.join(z, ["series", "water_year"])
+    return out
+
+
 def water_year(year: Column, month: Column, start: int = 10) -> Column:
     return F.when(month >= start, year + 1).otherwise(year)
 

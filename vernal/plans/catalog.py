@@ -12,6 +12,7 @@ from vernal.functions import classify, geo, raster
 from vernal.operators import extent, focal, imagery, masks, precip
 from vernal.operators.components import components
 from vernal.plans import bindings as B
+from vernal.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,7 +95,9 @@ def _flags(s, d):
 
 
 def _veg(s, d):
-    return masks.vegetation_flags(_flags(s, d), B.grid(s), B.static(s, d), B.PIXEL, B.THR)
+    """The composite and the flags are read by several stages: each is computed once."""
+    comp = written(imagery.composite(B.observations(s, d)), "composite")
+    return written(masks.vegetation_flags(masks.water_flags(comp, B.THR), B.grid(s), B.static(s, d), B.PIXEL, B.THR), "flags")
 
 
 def _monthly(s, d):
@@ -109,12 +112,15 @@ def _masks(s, d, peat: bool = False):
     f = _veg(s, d)
     out = masks.final_masks(f, masks.support(f, B.static(s, d), B.grid(s), B.PIXEL, peat, B.THR), peat)
     y = _years(s, d)
-    # read by several stages that follow
-    return extent.with_class(out, y.select(F.col("series").alias("site"), F.col("water_year").alias("year"), precip.effective_class(y).alias("cls"))).persist()
+    return written(extent.with_class(out, y.select(F.col("series").alias("site"), F.col("water_year").alias("year"), precip.effective_class(y).alias("cls"))), "masks")
 
 
 def _extents(s, d):
-    return extent.clean(extent.raw_extents(_masks(s, d), B.THR), B.grid(s), B.PIXEL, B.THR)
+    return _cleaned(s, _masks(s, d))
+
+
+def _cleaned(s, m):
+    return written(extent.clean(extent.raw_extents(m, B.THR), B.grid(s), B.PIXEL, B.THR), "extents")
 
 
 #: Project area and rings of the demo site, in metres east and south of the grid's corner (rectangles).
@@ -133,7 +139,7 @@ def _site(s):
 
 def _wetlands(s, d):
     m = _masks(s, d)
-    e = extent.clean(extent.raw_extents(m, B.THR), B.grid(s), B.PIXEL, B.THR)
+    e = _cleaned(s, m)
     objects = components(e.where("subset = 'all'").drop("subset"), ["site"])
     w = extent.locate(objects, _site(s), B.PIXEL)
     z = extent.zonal(objects, extent.frequencies(m), B.static(s, d), e, B.THR)
@@ -206,7 +212,7 @@ _HA = "CAST(round_even({} * CAST(0.04 AS DOUBLE), 2) AS DOUBLE)"
  {_HA.format('coalesce(cc, 0)')} AS late_water_ha, {_HA.format('coalesce(v, 0)')} AS wet_veg_ha, {_HA.format('coalesce(w, 0)')} AS wet_total_ha, round_even(100.0 * coalesce(a, 0) / greatest(n, 1), 2) AS coverage_pct, wet_dry FROM sp LEFT JOIN g USING (y) CROSS JOIN k LEFT JOIN cls ON cls.wy = sp.y""")
 def extent_by_year(s, d):
     m = _masks(s, d)
-    e = extent.clean(extent.raw_extents(m, B.THR), B.grid(s), B.PIXEL, B.THR).where("subset = 'all'")
+    e = _cleaned(s, m).where("subset = 'all'")
     return extent.extent_by_year(m, e, B.PIXEL, _years(s, d).select(F.col("series").alias("site"), F.col("water_year").alias("year"), "wet_dry")).drop("site")
 
 
