@@ -1,14 +1,12 @@
-"""What the training-data operators share: the shared scratch folder, hold-out
-remainders, and column-appending Arrow maps."""
+"""What the training-data operators share: columns out of the way, hold-out remainders, column-appending Arrow
+maps and ranges of a key."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spaces as the contracts have them: U+0020 and U+0009 to U+000D (also what bytes.split() splits on).
@@ -16,42 +14,6 @@ SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = f"/tmp/checkpoints/vernal-{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a written table; one that is gone already is no error."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        drop_path(spark, path)
-    except Exception:  # the session may have ended before
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors.
-
-    The path is kept in the result as attribute ``path`` so that callers can drop it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop_at_exit, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.path = path
-    return out
-
-
 def remainder(doc_id: Column | str, mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -74,6 +36,37 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{SPACE}+"))).cast("long")
 
 
+class Hidden:
+    """A table whose columns have been given names of their own (in_0, in_1, ...), so that an operator's columns can't
+    clash with them, whatever they are called (in any case, or twice)."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.df = df.toDF(*[f"in_{i}" for i in range(len(self.names))])
+
+    def name(self, column: str) -> str:
+        """The hidden name of a column."""
+        own = [i for i, c in enumerate(self.names) if c == column] or [i for i, c in enumerate(self.names) if c.lower() == column.lower()]
+        if not own:
+            raise ValueError(f"no column {column}: {', '.join(self.names)}")
+        return f"in_{own[0]}"
+
+    def shown(self, df: DataFrame, *outputs: str | Column, without: tuple[str, ...] = ()) -> DataFrame:
+        """df with the columns under their own names again, but for those (hidden names) in ``without``, and outputs. A column that is
+        named like an output is called name_in, with more underscores where that is taken as well."""
+        made = {x.lower() for x in df.select(*outputs).columns}
+        kept = {i: c for i, c in enumerate(self.names) if f"in_{i}" not in without}
+        taken = made | {c.lower() for c in kept.values()}
+        for i, c in kept.items():
+            if c.lower() in made:
+                c += "_in"
+                while c.lower() in taken:
+                    c += "_"
+                taken.add(c.lower())
+                kept[i] = c
+        return df.select(*[F.col(f"in_{i}").alias(c) for i, c in kept.items()], *outputs)
+
+
 #: Rows of an Arrow batch, where the session has no value of its own: texts can be long, and a batch is in memory
 #: several times over.
 BATCH_ROWS = 1_000
@@ -90,12 +83,14 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
 def appended(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
     """df (or its columns ``keep``) with computed columns at the end.
 
-    columns: DDL of the new columns; same-named columns of df are replaced. make: called once in each
+    columns: DDL of the new columns, none of which df has (see Hidden). make: called once in each
     task, returns the function from an Arrow batch to the new columns."""
     spark = df.sparkSession
     new = spark.createDataFrame([], columns).schema
     names = [f.name for f in new.fields]
-    old = [c for c in (keep if keep is not None else df.columns) if c not in names]
+    old = keep if keep is not None else df.columns
+    if clash := {c.lower() for c in old} & {c.lower() for c in names}:
+        raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
     out = type(new)([df.schema[c] for c in old] + list(new.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +108,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: Ranges at most: what the driver and the plan hold of them is bounded, ranges grow beyond (their tasks stream and sort
+#: with spilling).
+MOST_RANGES = 1 << 14
+
+
 def ranged(df: DataFrame, key: str, size: Column, most: int) -> tuple[DataFrame, int]:
-    """df with pid: its range of key (long; null in the lowest), cut where about ``most`` of size lie in each; and the
-    number of ranges. Cuts are quantiles over all rows, so the ranges are the same each time."""
+    """df with pid: its range of key (long; null in the lowest), cut where about ``most`` of size lie in each (more
+    beyond MOST_RANGES ranges); and the number of ranges. Cuts are quantiles over all rows, so the ranges are the same
+    each time."""
     total = df.agg(F.sum(size)).first()[0] or 0
-    n = total // most + 1
-    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
+    n = min(total // most + 1, MOST_RANGES)
+    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
     if not cuts:
         return df.withColumn("pid", F.lit(0)), 1
     bound = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # folded to a literal

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import drop_path, written
+from vernal.sources.scratch import drop, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         then = written(_star(_star(now, True), False), "links")
-        drop_path(now.sparkSession, now.path)
+        drop(now.sparkSession, now.path)
         now = then
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(row):

@@ -17,7 +17,9 @@ gives a spanning forest of its links, never all pairs; components are found by s
 
 Defined cases: null and empty texts, or white space only, have fingerprint zero, which links like any
 other; fewer words than a shingle: the whole sequence is the shingle; repeated rows stay, each with the
-same component; null doc_ids stay, with the least non-null doc_id of their group (null if there is none).
+same component; null doc_ids stay, with the least non-null doc_id of their group (null if there is none); of
+documents of one group the one of least doc_id, then least text hash, stands for it; an empty table gives no rows;
+only doc_id and text are read, so other columns can't clash; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, arrow_map, as_bytes, written
+from vernal.llm.common import Hidden, appended, arrow_map, as_bytes
 from vernal.llm.graph import components
+from vernal.sources.scratch import written
 
 BITS = 2
 #: Fingerprints at one anchor above which the finest code takes over.
@@ -227,11 +230,12 @@ def representatives(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", t
     first = first.select(name(F.col("f.doc_id")).alias("__id"), F.col("f.h").alias("__h"))
     copies = found.groupBy(name(F.col("doc_id")).alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
     first = written(first.join(copies, ["__id", "__h"]), "representatives")
-    rows = docs.withColumn("__id", name(F.col(doc_id))).withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    hide = Hidden(docs)
+    rows = hide.df.withColumn("__id", name(F.col(hide.name(doc_id)))).withColumn("__h", F.xxhash64(F.coalesce(F.col(hide.name(text)).cast("string"), F.lit(""))))
     kept = rows.join(first, ["__id", "__h"])
-    once = kept.where("__n = 1").select(*docs.columns)
-    many = kept.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns)
-    return once.unionByName(many)
+    once = kept.where("__n = 1").select(*hide.df.columns)
+    many = kept.where("__n > 1").dropDuplicates(["__id", "__h"]).select(*hide.df.columns)
+    return hide.shown(once.unionByName(many))
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ a key of more than APART texts.
 
 Defined cases: null, empty and white-space texts are copies of each other; texts of fewer than 5 words are one
 shingle, so only copies are alike; case (A-Z) and white space don't count; repeated rows share their group;
-null doc_ids stay; empty tables give no rows; texts of any length are read whole.
+null doc_ids stay; empty tables give no rows; only doc_id and text are read, so other columns can't clash; texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, arrow_map, as_bytes, written
+from vernal.llm.common import appended, arrow_map, as_bytes
 from vernal.llm.graph import components
 from vernal.llm.simhash import _leaders
+from vernal.sources.scratch import written
 
 WORDS, LEAST = 5, 0.8
 #: Bits that candidates differ in at most: of the words' fingerprint, and of the shingles'.
