@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -185,7 +186,11 @@ def test_range_coder_predicts_and_checks():
     coded = rangecoder.encode([block])[0]
     assert len(coded) < 0.35 * 2 * len(block)
     wide = (rng.integers(0, 1 << 20, 3000)).astype(np.uint32)
-    assert (rangecoder.decode(rangecoder.encode([wide], 5))[0] == wide).all()
+    assert (rangecoder.decode(rangecoder.encode([wide], 20))[0] == wide).all()
+    widest = rng.choice(np.array([7, 1 << 29, (1 << 30) - 1, 123_456_789], np.uint32), 900)
+    assert (rangecoder.decode(rangecoder.encode([widest], 30))[0] == widest).all()
+    distinct = rng.permutation(1 << 16).astype(np.uint32)  # more ids than order 0 tells apart
+    assert (rangecoder.decode(rangecoder.encode([distinct, block]))[0] == distinct).all()
     for damaged in (coded[:-2], coded[:-2] + b"\x55\xaa", b"XXXX" + coded[4:], coded[:10]):
         with pytest.raises(ValueError):
             rangecoder.decode([damaged])
@@ -212,7 +217,17 @@ def test_words_are_cut_as_the_library_does():
     t = tokens.Tokens(tokens.definition(), True)
     texts = ["Hello World's don't I'LL  '' ''s 12 3½ ²x µm ª º a\xadb Œuvre naïve ÀÉ <|endoftext|>", "日本語 text", "a\x85b\xa0c", "it's 're 'RE ’s ''re'", "", " \t ", "ß Ÿ", " \x0b\x0c q\x1cz"]
     want = [[*e.ids, 2] for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in t.encode(texts)] == want
+    assert [x.tolist() for x in t.encode(pa.array(texts))] == want
+
+
+def test_words_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN", 50)
+    monkeypatch.setattr(tokens, "PART_BYTES", 200)
+    t, rng = tokens.Tokens(tokens.definition(), True), random.Random(1)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 10**6)}," for _ in range(30)) for _ in range(60)]
+    want = [[*e.ids, 2] for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in t.encode(pa.array(texts))] == want
+    assert 0 < len(t.index) <= 50 + 200
 
 
 # --- decontamination

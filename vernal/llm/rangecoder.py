@@ -3,15 +3,17 @@
 Ids are cut into blocks; each block is coded on its own (all statistics reset) and carries a checksum, so a
 damaged block is found and costs only itself. In a block, an id is predicted by order 2 (the id that last
 followed the two ids before it) and by order 1 (that followed the last one), both hashed, and by order 0
-(adaptive frequencies of the id's nibbles). The predictions are mixed into one distribution: weights of
-orders 2 and 1 are learned for each confidence of their slot, order 0 has the rest. The mixture drives a
-48-bit range coder with carry.
+(adaptive frequencies of the block's ids, with an escape to ids not seen yet). The predictions are mixed into one
+distribution: weights of orders 2 and 1 are learned for each confidence of their slot, order 0 has the rest. The
+mixture drives a 64-bit range coder with carry: one coding step an id, and one more after an escape.
 
 A block is divided into lanes of consecutive ids that share the block's statistics and have a code stream
-each; lanes of many blocks are coded in lockstep, so that numpy does the work. Where lanes of a block touch
-the same statistic in one step, the last lane's value stays, in the encoder as in the decoder. A block's
-bytes don't depend on other blocks. Layout, little-endian: "VCM2", nibbles of an id, lanes (u16 each), number
-of ids, crc32 of the ids as u32 (u32 each), words of each lane (u32 each), then the lanes' 16-bit words.
+each; lanes of many blocks are coded in lockstep, so that numpy does the work. Statistics are brought up to date
+between segments of steps (short ones first, see _bounds) from all ids of the segment, step by step and lane by
+lane, in the encoder as in the decoder; the encoder has a segment's intervals in one go, the decoder finds them
+step by step. A block's bytes don't depend on other blocks. Layout, little-endian: "VCM3", bits of an id, lanes
+(u16 each), number of ids, crc32 of the ids as u32 (u32 each), words of each lane (u32 each), then the lanes'
+32-bit words.
 """
 
 from __future__ import annotations
@@ -21,76 +23,132 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"VCM2"
+MAGIC = b"VCM3"
 _HEAD = struct.Struct("<4sHHII")
-BLOCK_IDS = 1 << 16
-#: Ids in a lane at least, lanes of a block and of a lockstep group at most; statistics take about 0.7 MB a block.
-_LANE_IDS, _LANES, GROUP = 256, 64, 4096
+BLOCK_IDS = 1 << 18
+#: Ids in a lane at least, lanes of a block and of a lockstep group at most; statistics take about 1 MB a block.
+_LANE_IDS, _LANES, GROUP = 256, 512, 4096
+#: Slots of orders 1 and 2, as bits.
 _H1, _H2 = 14, 16
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_15, _16, _32, _MASK32 = np.uint64(15), np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1)
-_MASK48 = np.uint64((1 << 48) - 1)
-_CTX = 4096
-_RATE = 4
-_RARE = 20  # the least share of a nibble, of 32768
-#: Where a nibble's lower bounds go after it was seen.
-_TARGET = np.array([[i * _RARE if i <= s else 32768 - (16 - i) * _RARE for i in range(16)] for s in range(16)], dtype=np.int16)
-
-
-class _Model:
-    """Statistics of a number of blocks; block: the block of each lane."""
-
-    def __init__(self, blocks: int, nibbles: int, block: np.ndarray) -> None:
-        self.nibbles = nibbles
-        self.sizes = [min(16**j, _CTX) for j in range(nibbles)]
-        self.cdf = [np.tile(np.arange(16, dtype=np.int16) * np.int16(2048), (blocks * n, 1)) for n in self.sizes]
-        self.pred1, self.conf1 = np.zeros(blocks << _H1, np.uint32), np.zeros(blocks << _H1, np.uint8)
-        self.pred2, self.conf2 = np.zeros(blocks << _H2, np.uint32), np.zeros(blocks << _H2, np.uint8)
-        start = np.array([300, 16000, 32000, 48000], dtype=np.int32)
-        self.weight1, self.weight2 = np.tile(start, blocks), np.tile(start, blocks)
-        self.prev1, self.prev2 = np.zeros(len(block), np.uint32), np.zeros(len(block), np.uint32)
-        self.lane, self.block = np.arange(len(block)), block
-        self.base1, self.base2, self.base_w = block << _H1, block << _H2, block * 4
-        self.bases = [block * n for n in self.sizes]
-
-    def predict(self, n: int):
-        """Slots, predictions and 16-bit frequencies of orders 2 and 1 for the first n lanes."""
-        h = self.prev1[:n] * np.uint32(2654435761)
-        self.s1 = self.base1[:n] + (h >> np.uint32(32 - _H1))
-        self.s2 = self.base2[:n] + ((h ^ (self.prev2[:n] * np.uint32(2246822519))) >> np.uint32(32 - _H2))
-        self.g1, self.g2 = self.pred1.take(self.s1), self.pred2.take(self.s2)
-        self.c1, self.c2 = self.conf1.take(self.s1), self.conf2.take(self.s2)
-        self.w1, self.w2 = self.base_w[:n] + self.c1, self.base_w[:n] + self.c2
-        f2 = self.weight2.take(self.w2)
-        f1 = ((65536 - f2) * (self.weight1.take(self.w1) >> 4)) >> 12
-        f1[self.g1 == self.g2] = 1
-        return f1, f2
-
-    def learn(self, n: int, ids: np.ndarray) -> None:
-        for slot, guess, conf, w, pred, confs, weight in ((self.s1, self.g1, self.c1, self.w1, self.pred1, self.conf1, self.weight1), (self.s2, self.g2, self.c2, self.w2, self.pred2, self.conf2, self.weight2)):
-            right = guess == ids
-            now = weight.take(w)
-            weight[w] = np.minimum(np.maximum(now + (((right * np.int32(65000)) - now) >> 5), 64), 60000)
-            confs[slot] = np.where(right, np.minimum(conf + np.uint8(1), np.uint8(3)), conf >> np.uint8(1))
-            pred[slot] = np.where(right | (conf < 2), ids, guess)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
-
-    def rows(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        if 16**level > _CTX:
-            prefix = (prefix * np.uint32(2654435761)) >> np.uint32(20)
-        return self.bases[level].take(lanes) + prefix
-
-    def adapt(self, level: int, row: np.ndarray, cdf: np.ndarray, nibble: np.ndarray) -> None:
-        step = _TARGET.take(nibble, axis=0)
-        step -= cdf
-        step >>= _RATE
-        step += cdf
-        self.cdf[level][row] = step
+#: Bits of the mixture's weights and of the shares of order 0; a coding step divides the span by both.
+_MIX, _ZERO = 12, 16
+_ONE, _FULL = 1 << _MIX, 1 << _ZERO
+_STEP, _32 = np.uint64(_MIX + _ZERO), np.uint64(32)
+_LOW, _MOST = np.uint64(1 << 32), np.uint64((1 << (_MIX + _ZERO)) - 1)
+#: Ids that order 0 tells apart; any further ones of a block stay escapes.
+_KNOWN = 1 << 15
+#: Ids below this are counted in a table, others by sorting.
+_DENSE = 1 << 17
+
+
+def _bounds(steps: int) -> list[int]:
+    """Ends of segments: every power of two up to 32, then every 64 steps."""
+    return [b for b in [1, 2, 4, 8, 16, 32, *range(64, steps, 64)] if b < steps] + ([steps] if steps else [])
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and their counts."""
+    if int(ids.max()) >= _DENSE:
+        return np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    found = np.flatnonzero(n)
+    return found.astype(np.uint32), n[found]
+
+
+class _Block:
+    """Order 0 of a block: ids seen (ascending) with their counts; entry 0 of the tables is the escape."""
+
+    def __init__(self) -> None:
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.start, self.share = np.zeros(1, np.int64), np.full(1, _FULL)
+
+    def learn(self, ids: np.ndarray) -> None:
+        found, n = _counted(ids)
+        at = np.searchsorted(self.ids, found)
+        old = self.ids.take(at, mode="clip") == found if len(self.ids) else np.zeros(len(found), bool)
+        self.counts[at[old]] += n[old]
+        new = np.flatnonzero(~old)
+        escaped = int(n[new].sum())
+        new = new[: _KNOWN - len(self.ids)]
+        self.ids = np.insert(self.ids, at[new], found[new])
+        self.counts = np.insert(self.counts, at[new], n[new])
+        escape = min(max((escaped + 1) * _FULL // (len(ids) + 2), 1), _FULL // 4)
+        share = 1 + self.counts * (_FULL - escape - len(self.ids)) // max(int(self.counts.sum()), 1)
+        self.share = np.r_[_FULL - int(share.sum()), share]
+        self.start = np.cumsum(self.share) - self.share
+
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        """Entries of ids; 0 for those not seen."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        top = int(max(ids.max(), self.ids[-1])) + 1
+        if top <= _DENSE:
+            of = np.zeros(top, np.int64)
+            of[self.ids] = np.arange(1, len(self.ids) + 1)
+            return of.take(ids)
+        at = np.searchsorted(self.ids, ids)
+        return np.where(self.ids.take(at, mode="clip") == ids, at + 1, 0)
+
+
+#: By confidence and success: whether a slot keeps its id, and what is added to its confidence.
+_KEEPS = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
+_MOVES = np.array([0, 1, 0, 1, -1, 1, -2, 0], np.int32).astype(np.uint32)
+
+
+class _Contexts:
+    """Orders 1 and 2 of a number of blocks: slots hold an id and a confidence of 0 to 3 (the lowest two bits)."""
+
+    def __init__(self, blocks: int) -> None:
+        self.slots = [np.zeros(blocks << h, np.uint32) for h in (_H1, _H2)]
+        self.right = [np.tile(np.array([1, 8, 16, 24], np.int64), blocks) for _ in range(2)]
+        self.seen = [np.full(4 * blocks, 32, np.int64) for _ in range(2)]
+        self.weight = [np.zeros(4 * blocks, np.int32) for _ in range(2)]
+        for k in range(2):
+            self._weigh(k)
+
+    def _weigh(self, k: int) -> None:
+        self.weight[k][:] = np.clip((self.right[k] << _MIX) // self.seen[k], _ONE // 256, _ONE - _ONE // 64)
+
+    @staticmethod
+    def at(block: np.ndarray | int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of orders 1 and 2 after the ids two, one."""
+        h = one * np.uint32(2654435761)
+        return (block << _H1) + (h >> np.uint32(32 - _H1)), (block << _H2) + ((h ^ (two * np.uint32(2246822519))) >> np.uint32(32 - _H2))
+
+    def held(self, at: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return self.slots[0].take(at[0]), self.slots[1].take(at[1])
+
+    def predict(self, at: tuple, block4: np.ndarray | int):
+        """Slot contents, guesses and weights (of _ONE) of orders 1 and 2."""
+        e1, e2 = self.held(at)
+        g1, g2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
+        w2 = self.weight[1].take(block4 + (e2 & np.uint32(3)))
+        w1 = (self.weight[0].take(block4 + (e1 & np.uint32(3))) * (_ONE - w2)) >> _MIX
+        w1 *= g1 != g2
+        return e1, e2, g1, g2, w1, w2
+
+    def learn(self, at: tuple, held: tuple, block4: np.ndarray | int, ids: np.ndarray) -> None:
+        """ids after the slots at, which held so much; where a slot occurs more than once, its last place stays."""
+        for k in range(2):
+            e = held[k]
+            # 8 cases: confidence, and whether the guess was right
+            case = ((e & np.uint32(3)) << np.uint32(1)) | ((e >> np.uint32(2)) == ids)
+            n = np.bincount(2 * block4 + case, minlength=2 * len(self.seen[k])).reshape(-1, 2)
+            self.right[k] += n[:, 1]
+            self.seen[k] += n.sum(axis=1)
+            big = self.seen[k] > 1 << 14
+            self.right[k] >>= big
+            self.seen[k] >>= big
+            self.slots[k][at[k]] = np.where(_KEEPS.take(case), e + _MOVES.take(case), ids << np.uint32(2))
+            self._weigh(k)
+
+
+def _lanes_of(ids: int) -> int:
+    return min(_LANES, max(1, ids // _LANE_IDS))
 
 
 def _laid_out(sizes: list[int], lanes: list[int]) -> tuple[np.ndarray, ...]:
-    """Lanes of all blocks, longest first: block, first id, number of ids, and lanes alive at each step."""
+    """Lanes of all blocks, longest first: place in block order, block, first id, number of ids, and lanes alive at each step."""
     block = np.repeat(np.arange(len(sizes)), lanes)
     each = np.repeat([-(-n // k) if k else 0 for n, k in zip(sizes, lanes, strict=True)], lanes)
     first = (np.arange(len(block)) - np.repeat(np.cumsum([0, *lanes[:-1]]), lanes)) * each
@@ -110,82 +168,106 @@ def _groups(lanes: list[int]) -> list[slice]:
     return [*out, slice(at, len(lanes))] if lanes else []
 
 
-def _n_lanes(ids: int) -> int:
-    return min(_LANES, max(1, ids // _LANE_IDS))
+def _raw(bits: int) -> list[tuple[int, int]]:
+    """An escaped id's pieces: shift and bits of each."""
+    return [(bits - 15, 15), (0, bits - 15)] if bits > 16 else [(0, bits)]
+
 
+def encode(blocks: list[np.ndarray], bits: int = 16) -> list[bytes]:
+    """Blocks of unsigned ids below 2**bits (30 at most) to bytes."""
+    return [x for g in _groups([_lanes_of(len(b)) for b in blocks]) for x in _encode(blocks[g], bits)]
 
-def encode(blocks: list[np.ndarray], nibbles: int = 4) -> list[bytes]:
-    """Blocks of unsigned ids below 16**nibbles to bytes."""
-    return [x for g in _groups([_n_lanes(len(b)) for b in blocks]) for x in _encode(blocks[g], nibbles)]
 
+def _intervals(ids: np.ndarray, before: tuple, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's ids by step and lane: lower bounds and sizes (of 2**28) of their intervals, and which are escapes."""
+    low, size, escape = np.zeros(ids.shape, np.uint32), np.ones(ids.shape, np.uint32), np.zeros(ids.shape, bool)
+    zero, contexts = _Block(), _Contexts(1)
+    start = 0
+    for end in _bounds(len(ids)):
+        part = (slice(start, end), slice(0, int(live[start])))
+        alive = slice(None)
+        if live[end - 1] < live[start]:
+            alive = np.arange(part[1].stop) < live[start:end, None]
+        shape = ids[part][alive].shape
+        x = ids[part][alive].ravel()
+        at = contexts.at(0, *(b[part][alive].ravel() for b in before))
+        e1, e2, g1, g2, w1, w2 = contexts.predict(at, 0)
+        is2 = g2 == x
+        is1 = (g1 == x) & ~is2
+        both = w1 + w2
+        rank = zero.ranks(x)
+        rank[is1 | is2] = 0
+        rest = _ONE - both
+        low[part][alive] = np.where(is2, 0, np.where(is1, w2 << _ZERO, (both << _ZERO) + rest * zero.start.take(rank))).reshape(shape)
+        size[part][alive] = np.where(is2, w2 << _ZERO, np.where(is1, w1 << _ZERO, rest * zero.share.take(rank))).reshape(shape)
+        escape[part][alive] = ((rank == 0) & ~is1 & ~is2).reshape(shape)
+        contexts.learn(at, (e1, e2), 0, x)
+        zero.learn(x)
+        start = end
+    return low, size, escape
 
-def _encode(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
-    n_lanes = [_n_lanes(len(b)) for b in blocks]
+
+def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+    n_lanes = [_lanes_of(len(b)) for b in blocks]
     order, block, first, count, active = _laid_out([len(b) for b in blocks], n_lanes)
     lanes, steps = len(order), len(active)
-    ids_at = np.zeros((steps, lanes), np.uint32)
-    for j in range(lanes):
-        ids_at[: count[j], j] = blocks[block[j]][first[j] : first[j] + count[j]]
-    m = _Model(len(blocks), nibbles, block)
-    low, span, pos = np.zeros(lanes, np.uint64), np.full(lanes, _TOP), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, 256), np.uint32)
+    ids, escape = np.zeros((steps, lanes), np.uint32), np.zeros((steps, lanes), bool)
+    lows, sizes = np.zeros((steps, lanes), np.uint32), np.ones((steps, lanes), np.uint32)
+    for k, b in enumerate(blocks):
+        own = np.flatnonzero(block == k)
+        n = int(count[own[0]])
+        whole = np.zeros(n * len(own), np.uint32)
+        whole[: len(b)] = b
+        x = np.ascontiguousarray(whole.reshape(len(own), n).T)
+        one = np.vstack([np.zeros((1, len(own)), np.uint32), x])[:-1]
+        two = np.vstack([np.zeros((2, len(own)), np.uint32), x])[:-2]
+        live = (count[own] > np.arange(n)[:, None]).sum(axis=1)
+        ids[:n, own] = x
+        lows[:n, own], sizes[:n, own], escape[:n, own] = _intervals(x, (one, two), live)
+    low, span, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.int64)
+    words = np.zeros((64, lanes), np.uint64)  # a carry stays in a word's upper half until the end
 
-    def put(who: np.ndarray | slice, bits: np.uint64, cum: np.ndarray, freq: np.ndarray) -> None:
+    def put(who: np.ndarray | slice, shift: np.uint64, cum: np.ndarray, freq: np.ndarray) -> None:
         nonlocal words
-        r = span[who] >> bits
-        lo = r * cum.astype(np.uint64)
-        lo += low[who]
-        sp = r * freq.astype(np.uint64)
-        over = np.flatnonzero(lo >= _TOP)
+        r = span[who] >> shift
+        old = low[who]
+        lo = old + r * cum
+        r *= freq
+        over = np.flatnonzero(lo < old)
         if len(over):
-            k = m.lane[who][over]
-            words[k, pos[k] - 1] += 1
-            lo &= _MASK48
-        small = np.flatnonzero(sp < _LOW)
+            k = over if isinstance(who, slice) else who[over]
+            words[pos[k] - 1, k] += np.uint64(1)
+        small = np.flatnonzero(r < _LOW)
         if len(small):
-            k = m.lane[who][small]
+            k = small if isinstance(who, slice) else who[small]
             p = pos[k]
-            if int(p.max()) + 4 >= words.shape[1]:
-                words = np.hstack([words, np.zeros_like(words)])
-            words[k, p] = lo[small] >> _32
+            if int(p.max()) + 4 >= len(words):
+                words = np.vstack([words, np.zeros_like(words)])
+            x = lo[small]
+            words[p, k] = x >> _32
             pos[k] = p + 1
-            lo[small] = (lo[small] & _MASK32) << _16
-            sp[small] <<= _16
-        low[who], span[who] = lo, sp
+            lo[small] = x << _32
+            r[small] <<= _32
+        low[who], span[who] = lo, r
 
     for t in range(steps):
         n = int(active[t])
-        ids = ids_at[t, :n]
-        f1, f2 = m.predict(n)
-        is2 = m.g2 == ids
-        is1 = (m.g1 == ids) & ~is2
-        # intervals: order 2, order 1, order 0
-        both = f1 + f2
-        put(slice(0, n), _16, np.where(is2, 0, np.where(is1, f2, both)), np.where(is2, f2, np.where(is1, f1, 65536 - both)))
-        rest = np.flatnonzero(~(is1 | is2))
-        if len(rest):
-            x = ids[rest]
-            prefix = np.zeros(len(rest), np.uint32)
-            at = np.arange(len(rest)) * 16
-            for level in range(nibbles):
-                nibble = (x >> np.uint32(4 * (nibbles - 1 - level))) & np.uint32(15)
-                row = m.rows(rest, level, prefix)
-                cdf = m.cdf[level].take(row, axis=0)
-                c = cdf.ravel().take(at + nibble).astype(np.int64)
-                above = cdf.ravel().take(at + (nibble + np.uint32(1)), mode="clip").astype(np.int64)
-                above[nibble == 15] = 32768
-                put(rest, _15, c, above - c)
-                m.adapt(level, row, cdf, nibble)
-                prefix = prefix * np.uint32(16) + nibble
-        m.learn(n, ids)
-    # the last 48 bits, then carries from the end on
-    words = np.hstack([words, np.zeros((lanes, 4), np.uint32)])
-    for shift in (32, 16, 0):
-        words[m.lane, pos] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
-        pos += 1
+        put(slice(0, n), _STEP, lows[t, :n], sizes[t, :n])
+        who = np.flatnonzero(escape[t, :n])
+        if len(who):
+            for shift, wide in _raw(bits):
+                put(who, np.uint64(wide), (ids[t, who] >> np.uint32(shift)) & np.uint32((1 << wide) - 1), np.ones(len(who), np.uint32))
+    # a number in the last interval whose lower word is zero, then carries from the end on
+    last = low + (_LOW - np.uint64(1))
+    words = np.vstack([words, np.zeros((2, lanes), np.uint64)])
+    lane = np.arange(lanes)
+    over = np.flatnonzero(last < low)
+    words[pos[over] - 1, over] += np.uint64(1)
+    words[pos, lane] = last >> _32
+    pos += 1
     for j in range(int(pos.max(initial=1)) - 1, 0, -1):
-        words[:, j - 1] += words[:, j] >> np.uint32(16)
-    data = words.astype("<u2")
+        words[j - 1] += words[j] >> _32
+    data = np.ascontiguousarray(words.T).astype("<u4")
     streams: list[bytes] = [b""] * lanes
     for j, i in enumerate(order):
         x = data[j, : pos[j]]
@@ -195,84 +277,118 @@ def _encode(blocks: list[np.ndarray], nibbles: int) -> list[bytes]:
     for b, k in zip(blocks, n_lanes, strict=True):
         own = streams[at : at + k]
         at += k
-        out.append(_HEAD.pack(MAGIC, nibbles, k, len(b), zlib.crc32(b.astype("<u4").tobytes())) + np.array([len(x) // 2 for x in own], "<u4").tobytes() + b"".join(own))
+        out.append(_HEAD.pack(MAGIC, bits, k, len(b), zlib.crc32(b.astype("<u4").tobytes())) + np.array([len(x) // 4 for x in own], "<u4").tobytes() + b"".join(own))
     return out
 
 
 def decode(blocks: list[bytes]) -> list[np.ndarray]:
     """Ids of blocks; raises ValueError on a damaged one."""
     heads = [_HEAD.unpack_from(b) if len(b) >= _HEAD.size else (b"", 0, 0, 0, 0) for b in blocks]
-    if any(h[0] != MAGIC or h[2] != _n_lanes(h[3]) for h in heads) or len({h[1] for h in heads}) > 1:
+    if any(h[0] != MAGIC or not 0 < h[1] <= 30 or h[2] != _lanes_of(h[3]) for h in heads) or len({h[1] for h in heads}) > 1:
         raise ValueError("not a block of this format")
     return [x for g in _groups([h[2] for h in heads]) for x in _decode(blocks[g], heads[g])]
 
 
+class _Tables:
+    """Order 0 of all blocks for the decoder: entry of each slot, and start, share and id of each entry."""
+
+    def __init__(self, blocks: int) -> None:
+        self.entry = np.zeros((blocks, _FULL), np.uint16)
+        self.width = 1 << 10
+        self.interval, self.id = np.zeros((blocks, self.width), np.uint32), np.zeros((blocks, self.width), np.uint32)
+        self.interval[:, 0] = _FULL - 1
+
+    def put(self, k: int, zero: _Block) -> None:
+        n = len(zero.share)
+        while n > self.width:
+            self.interval, self.id = (np.hstack([x, np.zeros_like(x)]) for x in (self.interval, self.id))
+            self.width *= 2
+        self.entry[k] = np.repeat(np.arange(n, dtype=np.uint16), zero.share)
+        self.interval[k, :n] = (zero.start << 16) | (zero.share - 1)
+        self.id[k, 1:n] = zero.ids
+
+
 def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
-    nibbles = heads[0][1]
+    bits = heads[0][1]
     order, block, first, count, active = _laid_out([h[3] for h in heads], [h[2] for h in heads])
     lanes, steps = len(order), len(active)
     streams: list[np.ndarray] = []
     for b, h in zip(blocks, heads, strict=True):
         sizes = np.frombuffer(b, "<u4", h[2], _HEAD.size) if len(b) >= _HEAD.size + 4 * h[2] else np.zeros(h[2], "<u4")
         body = b[_HEAD.size + 4 * h[2] :]
-        if 2 * int(sizes.sum()) != len(body):
+        if 4 * int(sizes.sum()) != len(body):
             raise ValueError("a block is cut off")
-        streams += np.split(np.frombuffer(body, "<u2"), np.cumsum(sizes)[:-1])
+        streams += np.split(np.frombuffer(body, "<u4"), np.cumsum(sizes)[:-1])
     width = max(map(len, streams)) + 4
     words = np.zeros((lanes, width), np.uint64)
     for j, i in enumerate(order):
         words[j, : len(streams[i])] = streams[i]
-    m = _Model(len(blocks), nibbles, block)
-    code, span, pos = (words[:, 0] << _32) | (words[:, 1] << _16) | words[:, 2], np.full(lanes, _TOP), np.full(lanes, 3)
     flat = words.ravel()
     base = np.arange(lanes) * width
-    ids_at = np.zeros((steps, lanes), np.uint32)
+    code, span, pos = (words[:, 0] << _32) | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 2)
+    contexts, tables, zeros = _Contexts(len(blocks)), _Tables(len(blocks)), [_Block() for _ in blocks]
+    own = [np.flatnonzero(block == k) for k in range(len(blocks))]
+    four, slots0 = block * 4, block * _FULL
+    ids_at = np.zeros((steps + 2, lanes), np.uint32)  # two rows of zeros before the first step
 
     def take(who: np.ndarray | slice, c: np.ndarray, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        c = c - r * cum.astype(np.uint64)
-        sp = r * freq.astype(np.uint64)
-        small = np.flatnonzero(sp < _LOW)
+        c = c - r * cum
+        r = r * freq
+        small = np.flatnonzero(r < _LOW)
         if len(small):
-            k = m.lane[who][small]
+            k = small if isinstance(who, slice) else who[small]
             p = pos[k]
-            c[small] = (c[small] << _16) | flat.take(base[k] + np.minimum(p, width - 1))
+            c[small] = (c[small] << _32) | flat.take(base[k] + np.minimum(p, width - 1))
             pos[k] = p + 1
-            sp[small] <<= _16
-        code[who], span[who] = c, sp
+            r[small] <<= _32
+        code[who], span[who] = c, r
 
-    for t in range(steps):
-        n = int(active[t])
-        f1, f2 = m.predict(n)
-        r = span[:n] >> _16
-        v = np.minimum(code[:n] // r, np.uint64(65535)).astype(np.int32)
-        both = f1 + f2
-        is2 = v < f2
-        is1 = ~is2 & (v < both)
-        take(slice(0, n), code[:n], r, np.where(is2, 0, np.where(is1, f2, both)), np.where(is2, f2, np.where(is1, f1, 65536 - both)))
-        ids = np.where(is2, m.g2, m.g1)
-        rest = np.flatnonzero(~(is1 | is2))
-        if len(rest):
-            prefix = np.zeros(len(rest), np.uint32)
-            at = np.arange(len(rest)) * 16
-            for level in range(nibbles):
-                row = m.rows(rest, level, prefix)
-                cdf = m.cdf[level].take(row, axis=0)
-                code_now = code[rest]
-                r = span[rest] >> _15
-                v = np.minimum(code_now // r, np.uint64(32767)).astype(np.int16)
-                nibble = np.add.reduce((cdf <= v[:, None]).view(np.int8), axis=1, dtype=np.int8).astype(np.uint32) - np.uint32(1)
-                c = cdf.ravel().take(at + nibble).astype(np.int64)
-                above = cdf.ravel().take(at + (nibble + np.uint32(1)), mode="clip").astype(np.int64)
-                above[nibble == 15] = 32768
-                take(rest, code_now, r, c, above - c)
-                m.adapt(level, row, cdf, nibble)
-                prefix = prefix * np.uint32(16) + nibble
-            ids[rest] = prefix
-        ids_at[t, :n] = ids
-        m.learn(n, ids)
+    start = 0
+    for end in _bounds(steps):
+        entries, intervals, known = tables.entry.ravel(), tables.interval.ravel(), tables.id.ravel()
+        row0 = block * tables.width
+        for t in range(start, end):
+            n = int(active[t])
+            _, _, g1, g2, w1, w2 = contexts.predict(contexts.at(block[:n], ids_at[t + 1, :n], ids_at[t, :n]), four[:n])
+            both = w1 + w2
+            c = code[:n]
+            r = span[:n] >> _STEP
+            v = np.minimum(c // r, _MOST).astype(np.int32)
+            mixed = v >> _ZERO
+            is2, is0 = mixed < w2, mixed >= both
+            rest = _ONE - both
+            at = row0[:n] + entries.take(slots0[:n] + (((v - (both << _ZERO)) // rest) & (_FULL - 1)))
+            found = intervals.take(at)
+            cum = np.where(is0, (both << _ZERO) + rest * (found >> np.uint32(16)), (w2 << _ZERO) * ~is2)
+            freq = np.where(is0, rest * ((found & np.uint32(_FULL - 1)) + np.uint32(1)), np.where(is2, w2, w1) << _ZERO)
+            ids = np.where(is0, known.take(at), np.where(is2, g2, g1))
+            take(slice(0, n), c, r, cum.astype(np.uint64), freq.astype(np.uint64))
+            who = np.flatnonzero(is0 & (at == row0[:n]))
+            if len(who):
+                x = np.zeros(len(who), np.uint32)
+                for _, wide in _raw(bits):
+                    c = code[who]
+                    r = span[who] >> np.uint64(wide)
+                    v = np.minimum(c // r, np.uint64((1 << wide) - 1))
+                    take(who, c, r, v, np.ones(len(who), np.uint64))
+                    x = (x << np.uint32(wide)) | v.astype(np.uint32)
+                ids[who] = x
+            ids_at[t + 2, :n] = ids
+        n = int(active[start])
+        alive = np.arange(start, end)[:, None] < count[:n]
+        whose = np.broadcast_to(block[:n], alive.shape)[alive]
+        one, two, x = (ids_at[start + j : end + j, :n][alive] for j in (1, 0, 2))
+        at = contexts.at(whose, one, two)
+        contexts.learn(at, contexts.held(at), 4 * whose, x)
+        for k, cols in enumerate(own):
+            cols = cols[count[cols] > start]
+            if len(cols):
+                zeros[k].learn(ids_at[start + 2 : end + 2, cols][np.arange(start, end)[:, None] < count[cols]])
+                tables.put(k, zeros[k])
+        start = end
     out = [np.zeros(h[3], np.uint32) for h in heads]
     for j in range(lanes):
-        out[block[j]][first[j] : first[j] + count[j]] = ids_at[: count[j], j]
+        out[block[j]][first[j] : first[j] + count[j]] = ids_at[2 : 2 + count[j], j]
     for x, h in zip(out, heads, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != h[4]:
             raise ValueError("a block's checksum is wrong")

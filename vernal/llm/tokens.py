@@ -6,114 +6,148 @@ store and Spark's commit protocol serve, also when executors are lost): a row is
 documents with shard, unit, doc_ids, lengths and blocks (see rangecoder). Reading decodes all blocks and
 checks each checksum.
 
-The tokenizer splits a text into words that it encodes one by one, so a worker keeps the ids of words it
-has seen (Latin-1 texts without special tokens; others go through the library as a whole).
+The tokenizer splits a text into words that it encodes one by one, so a worker keeps the ids of words that it has
+seen (Latin-1 texts without special tokens; others go through the library as a whole).
 
 Defined cases: a null or empty text gives the end id alone; documents with equal ids stand in text-hash
-order, null ids first; a text of any length stays one document in one unit.
+order, null ids first; repeated rows are written each; an empty table gives no files and no rows; columns but doc_id and
+text are not read, so none can clash; a text of any length stays one document in one unit.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernal.llm import rangecoder
-from vernal.llm.common import arrow_map, ranged, whole_text, written
+from vernal.llm.common import arrow_map, ranged, whole_text
+from vernal.sources.scratch import written
 
 END = 2
 #: Bytes of text in a shard, and ids in a unit, about.
 SHARD_BYTES, UNIT_IDS = 4 << 20, 1 << 18
-#: Ids that a task holds before it codes them; words that a worker remembers.
-HELD_IDS, KNOWN = 1 << 22, 300_000
+#: Ids that a task holds before it codes them; words that a worker remembers; bytes of text that are cut at a time.
+HELD_IDS, KNOWN, PART_BYTES = 1 << 21, 600_000, 4 << 20
 
 _LATIN = [chr(c) for c in range(0xA1, 0x100)]
 _LETTERS = "a-zA-Z" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "0-9" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
-_PLAIN = re.compile("[^\t\n\r -~\xa1-\xff]|<\\|")
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_OTHER = "[^\t\n\r -~\xa1-\xff]|<\\|"
+#: What ends a run of letters: parts of words after an apostrophe, single digits, runs of other signs.
+_CUT = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+)"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte: printable ones stand for themselves, the others
+    follow from U+0100 on. The space stays, as the cut between words."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return dict(zip(own, map(chr, own), strict=True)) | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*own}))} | {32: " "}
+
+
+_BYTES = _byte_letters()
 
 
 class Tokens:
-    """A tokenizer with a memory of words. by_word: its pre-tokenizer cuts texts as _WORDS does, after lower-casing."""
+    """A tokenizer with a memory of words. by_word: its normalizer lower-cases, its pre-tokenizer cuts texts into letters,
+    single digits and what _CUT names and takes words as bytes, and a word's last id has an end of word. Other
+    tokenizers, and texts outside Latin-1, go through the library as a whole."""
 
     def __init__(self, definition: str, by_word: bool) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_word = Tokenizer.from_str(definition), by_word
+        if by_word:
+            self.words_only = Tokenizer(self.tokenizer.model)
+            self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            suffix = self.tokenizer.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+            self.kind = np.uint16 if len(self.last) <= 1 << 16 else np.uint32
         self._reset()
 
     def _reset(self) -> None:
+        """Ids of the k-th word are flat[start[k] : start[k] + size[k]]; used: parts of texts that had it."""
         self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.flat, self.end = np.zeros(1 << 16, self.kind if self.by_word else np.uint32), 0
+        self.start, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, encoded as one text (a space between two words ends the first)."""
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(e.ids, dtype=np.uint32), np.array(e.word_ids, dtype=np.int64)
-        size = np.bincount(of, minlength=len(words))
-        if len(size) != len(words) or not size.all():  # not cut as expected: one by one
-            each = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            ids, size = np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each])
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         at, n = len(self.index), len(words)
         while at + n > len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
+            self.start, self.size, self.used = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.used))
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.end : self.end + len(ids)] = ids
         self.size[at : at + n] = size
-        self.start[at : at + n] = self.used + np.cumsum(size) - size
-        self.used += len(ids)
+        self.start[at : at + n] = self.end + np.cumsum(size) - size
+        self.end += len(ids)
         self.index.update(zip(words, range(at, at + n), strict=True))
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text's words in a row, and how many each has."""
-        if len(self.index) > KNOWN:
-            self._reset()
-        get = self.index.get
-        at = list(map(get, words))
-        k = np.array([-1 if i is None else i for i in at], dtype=np.int64) if None in at else np.array(at, dtype=np.int64)
-        new = np.flatnonzero(k < 0)
-        if len(new):
-            self._learn(list(dict.fromkeys([words[i] for i in new])))
-            k[new] = [get(words[i]) for i in new]
+    def _ids(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words k in a row, and how many each has."""
         n = self.size[k]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         return self.flat[np.repeat(self.start[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts with the end id."""
+    def _forget(self) -> None:
+        """Keeps the words that came in more than one part, unless those are too many as well."""
+        names, keep = list(self.index), np.flatnonzero(self.used > 1)
+        ids, n = self._ids(keep)
+        self._reset()
+        if len(keep) <= KNOWN // 2:
+            self._add([names[k] for k in keep], ids, n)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, encoded by the library's model in texts of a hundred."""
+        parts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        coded = self.words_only.encode_batch_fast([x.encode().decode("latin-1").translate(_BYTES) for x in parts], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):  # not cut as expected: one by one
+            each = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            ids, ends = np.array([i for x in each for i in x], dtype=np.uint32), np.cumsum([len(x) for x in each])
+        self._add(words, ids, np.diff(ends, prepend=0))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts (no nulls) with the end id."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain: list[int] = []
-        held = 0
-        for i, t in enumerate(texts):
-            if not self.by_word or _PLAIN.search(t):
-                out[i] = np.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32), np.uint32(END))
-            else:
-                plain.append(i)
-                held += len(t)
-                if held > 1 << 20:
-                    self._encode(texts, plain, out)
-                    plain, held = [], 0
-        self._encode(texts, plain, out)
+        other = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        for i in np.flatnonzero(other):
+            out[i] = np.append(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32), np.uint32(END))
+        plain = np.flatnonzero(~other)
+        if len(plain):
+            held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)[plain]) // PART_BYTES
+            for part in np.split(plain, np.flatnonzero(np.diff(held)) + 1):
+                for i, x in zip(part, self._encode(texts.take(pa.array(part))), strict=True):
+                    out[i] = x
         return out
 
-    def _encode(self, texts: list[str], which: list[int], out: list) -> None:
-        words, ends = [], []
-        for i in which:
-            words += _WORDS.findall(texts[i].lower())
-            ends.append(len(words))
-        ids, n = self._words(words)
-        total = np.r_[0, np.cumsum(n)]
-        for i, (x, y) in zip(which, zip(total[[0, *ends[:-1]]], total[ends], strict=True), strict=True) if which else ():
-            out[i] = np.append(ids[x:y], np.uint32(END))
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.index) > KNOWN:
+            self._forget()
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _CUT, r" \1 "))
+        coded = cut.flatten().dictionary_encode()
+        one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary.cast(pa.large_string()))
+        names = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # words hold no space
+        if "" not in self.index:
+            self._add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # before a first word, after a last one
+        at = list(map(self.index.get, names))
+        if None in at:
+            self._learn([x for x, k in zip(names, at, strict=True) if k is None])
+            at = list(map(self.index.get, names))
+        at = np.array(at, np.int64)
+        self.used[at] += 1
+        ids, n = self._ids(at[coded.indices.to_numpy()])
+        bounds = np.r_[0, np.cumsum(n, dtype=np.int64)][np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)]]
+        return [np.append(ids[a:b], ids.dtype.type(END)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _OF: dict[tuple[int, bool], Tokens] = {}
@@ -131,7 +165,7 @@ def remembered(definition: str, by_word: bool) -> Tokens:
 _FILE = "shard int, unit long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
-def encode(docs: DataFrame, definition: str, by_word: bool, nibbles: int = 4) -> DataFrame:
+def encode(docs: DataFrame, definition: str, by_word: bool, bits: int = 16) -> DataFrame:
     """(doc_id, text) to rows of the file format."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text")).withColumn("h", F.xxhash64("text"))
     d, n = ranged(d, "doc_id", F.octet_length("text"), SHARD_BYTES)
@@ -150,7 +184,7 @@ def encode(docs: DataFrame, definition: str, by_word: bool, nibbles: int = 4) ->
             for u in done:
                 ids = np.concatenate(u[3])
                 cut.append([ids[i : i + rangecoder.BLOCK_IDS] for i in range(0, len(ids), rangecoder.BLOCK_IDS)])
-            coded = iter(rangecoder.encode([b for c in cut for b in c], nibbles))
+            coded = iter(rangecoder.encode([b for c in cut for b in c], bits))
             blocks = [[next(coded) for _ in c] for c in cut]
             return pa.RecordBatch.from_arrays(
                 [
@@ -165,8 +199,8 @@ def encode(docs: DataFrame, definition: str, by_word: bool, nibbles: int = 4) ->
 
         pid_now, unit_now, size = None, 0, 0
         for b in batches:
-            pids, ids, texts = (b.column(i).to_pylist() for i in range(3))
-            for pid, doc_id, x in zip(pids, ids, tokens.encode(texts), strict=True):
+            pids, ids = (b.column(i).to_pylist() for i in range(2))
+            for pid, doc_id, x in zip(pids, ids, tokens.encode(b.column(2)), strict=True):
                 if pid != pid_now or size >= UNIT_IDS:
                     if held >= HELD_IDS:
                         yield flush()
@@ -187,7 +221,7 @@ def read(files: DataFrame) -> DataFrame:
     """Decoded documents: (shard, unit, place, doc_id, before: ids before it in its unit, ids: little-endian u32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 16) for whole in batches for at in range(0, whole.num_rows, 16)):  # bounded memory, full lockstep groups
+        for b in (whole.slice(at, 8) for whole in batches for at in range(0, whole.num_rows, 8)):  # bounded memory, full lockstep groups
             col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
             ids = iter(rangecoder.decode([x for u in col["blocks"] for x in u]))
             for i in range(b.num_rows):
