@@ -13,9 +13,11 @@ each at best. Windows that can't reach ``least`` by that are not aligned.
 The benchmark is taken in blocks of BLOCK_WORDS words, so what goes to the executors is bounded, and each
 block passes over the documents once. Nothing is paired but documents and items that share a seed.
 
-Defined cases: null and empty texts have no words and no leaks; an item with fewer words than a seed can't
-be found, nor can a null item; an item repeated under several ids is reported under each; repeated rows of
-documents are reported alike; texts of any length are read whole.
+Defined cases: null and empty texts have no words and no leaks; an item with fewer words than a seed is found where
+all its words stand in a row; a null item, or one without words, is not found; an item repeated under several ids is
+reported under each; of alignments with equal scores the last end counts; repeated rows of documents are reported
+alike; an empty table of documents gives no rows, an empty benchmark no leaks; a column of documents called leaks
+comes back as leaks_in; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, arrow_map, as_bytes
+from vernal.llm.common import Hidden, appended, as_bytes
 
 N = 3
 LEAST = 0.5
@@ -58,17 +60,23 @@ class Items:
         order = np.lexsort((self.at, self.item, self.code))
         self.code, self.item, self.at = self.code[order], self.item[order], self.at[order]
         self.seeds, self.first = np.unique(self.code, return_index=True)
-
-    def codes(self, w: np.ndarray) -> np.ndarray:
-        """n-grams of word ids as numbers; -1 where a word is unknown."""
-        if len(w) < N:
-            return np.zeros(0, np.int64)
-        n = len(w) - N + 1
-        code, known = np.zeros(n, np.int64), np.ones(n, dtype=bool)
-        for j in range(N):
+        #: items of fewer words than a seed, by length: their words as one number, and the items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, N):
+            own = [k for k, w in enumerate(self.words) if len(w) == n]
+            if own:
+                c = np.array([int(self.codes(self.words[k], n)[0]) for k in own], dtype=np.int64)
+                order = np.argsort(c, kind="stable")
+                self.short[n] = c[order], np.array(own)[order]
+
+    def codes(self, w: np.ndarray, grams: int = N) -> np.ndarray:
+        """n-grams of word ids as numbers. From some two million distinct words on they wrap round, so that different seeds
+        can have one number: that adds places to align, and takes none away."""
+        n = max(len(w) - grams + 1, 0)
+        code = np.zeros(n, np.int64)
+        for j in range(grams):
             code = code * self.base + w[j : j + n]
-            known &= w[j : j + n] > 0
-        return np.where(known, code, -1)
+        return code
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all texts, N-1 zeros after each, and where each text begins."""
@@ -95,6 +103,21 @@ class Items:
         return at[found], seed[found]
 
 
+    def verbatim(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first place, length) of items shorter than a seed, wherever their words stand in a row."""
+        for n, (code, item) in self.short.items():
+            here = np.ones(max(len(ids) - n + 1, 0), dtype=bool)
+            for j in range(n):
+                here &= ids[j : j + len(here)] > 0
+            at = np.flatnonzero(here)
+            own = self.codes(ids, n)[at]
+            low, high = np.searchsorted(code, own), np.searchsorted(code, own, side="right")
+            for i in np.flatnonzero(high > low):
+                for k in item[low[i] : high[i]]:
+                    if (self.words[k] == ids[at[i] : at[i] + n]).all():
+                        yield int(k), int(at[i]), n
+
+
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of an item against each row of word ids, and where the best alignment ends."""
     n, width = windows.shape
@@ -133,9 +156,20 @@ def leaks(items: Items, texts: list[bytes], least: float = LEAST) -> list[list[d
     """For each text its leaks: item_id, score, end_word (the word after the aligned passage)."""
     out: list[list[dict]] = [[] for _ in texts]
     ids, begin = items.read(texts)
+    found: dict[tuple[int, int], tuple[float, int]] = {}
+    for k, at, n in items.verbatim(ids):
+        d = int(np.searchsorted(begin, at, side="right")) - 1
+        found[k, d] = max(found.get((k, d), (0.0, 0)), (1.0, at - int(begin[d]) + n))
     place, seed = items.hits(ids)
-    if not len(place):
-        return out
+    if len(place):
+        _aligned(items, ids, begin, place, seed, least, found)
+    for (k, d), (score, end) in sorted(found.items()):
+        out[d].append({"item_id": items.ids[k], "score": score, "end_word": end})
+    return out
+
+
+def _aligned(items: Items, ids: np.ndarray, begin: np.ndarray, place: np.ndarray, seed: np.ndarray, least: float, found: dict) -> None:
+    """Adds to found, by (item, text), the best score and its end of the alignments at seeds that reach ``least``."""
     # all (document, item, cell of the diagonal) that share a seed
     last = np.r_[items.first[1:], len(items.code)]
     n = last[seed] - items.first[seed]
@@ -148,7 +182,6 @@ def leaks(items: Items, texts: list[bytes], least: float = LEAST) -> list[list[d
     cell = np.floor_divide(diagonal - begin[doc], slack)
     keys = np.unique(np.stack([item, doc, cell]), axis=1)
     ends = np.r_[begin[1:], len(ids)]
-    found: dict[tuple[int, int], tuple[float, int]] = {}
     padded = np.r_[ids, np.int32(-1)]
     for k in np.unique(keys[0]):
         own = keys[1:, keys[0] == k]
@@ -163,9 +196,6 @@ def leaks(items: Items, texts: list[bytes], least: float = LEAST) -> list[list[d
                 i, d = able[j], int(own[0][part + able[j]])
                 new = (float(score[j]) / (2 * m), int(at[part + i][end[j]] - begin[d]) + 1)
                 found[k, d] = max(found.get((k, d), (0.0, 0)), new)
-    for (k, d), (score, end) in sorted(found.items()):
-        out[d].append({"item_id": items.ids[k], "score": score, "end_word": end})
-    return out
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -196,20 +226,22 @@ LEAKS = "array<struct<item_id:bigint,score:double,end_word:bigint>>"
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with leaks: array of (item_id, score, end_word), empty for a clean document."""
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
+    h = Hidden(docs)
+    own = h.name(text)
+    out = h.df.withColumn("leaks", F.array().cast(LEAKS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())]))
     for items in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
             def columns(b: pa.RecordBatch) -> list:
-                texts = as_bytes(b.column(b.schema.get_field_index(text)).cast(pa.string()))
+                texts = as_bytes(b.column(b.schema.get_field_index(own)).cast(pa.string()))
                 return [pa.array([x for part in _pieces(texts) for x in leaks(shared.value, texts[part], least)], kind)]
 
             return columns
 
-        out = appended(out, f"__leaks {LEAKS}", make).withColumn("leaks", F.concat("leaks", F.col("__leaks").cast(LEAKS))).drop("__leaks")
-    return out
+        out = appended(out, f"more {LEAKS}", make).withColumn("leaks", F.concat("leaks", F.col("more").cast(LEAKS))).drop("more")
+    return h.shown(out, "leaks")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
