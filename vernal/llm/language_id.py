@@ -1,14 +1,15 @@
 """Language identification by prediction by partial matching.
 
 For each language, byte contexts up to order 3 are counted on a bounded, documented sample of labelled
-texts and then frozen. A symbol seen after a context costs -log2 c/(n+q) (n: occurrences, q: distinct
+texts, all of them, and then frozen. A symbol seen after a context costs -log2 c/(n+q) (n: occurrences, q: distinct
 symbols); an unseen one pays the escape q/(n+q), renormalised over what the shorter context still allows
 (exclusion), so each context's probabilities sum to one and a text's cost is an exact code length. The
 language with the shortest code wins; ``score`` is its posterior under equal priors.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled text
-every row is ``und``; equal code lengths go to the language first by code point; texts of any length are
-coded whole, in pieces that carry their context over.
+every row is ``und``; equal code lengths go to the language first by code point; repeated rows are coded alike; an
+empty table gives no rows; columns of the input named like an added one (lang_pred, score, bits) come back as name_in;
+texts of any length are coded whole, in pieces that carry their context over.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, as_bytes, remainder
+from vernal.llm.common import Hidden, appended, as_bytes, remainder
 
 ORDER = 3
-#: Bytes of labelled text, all languages together, that the statistics are fitted on (expected size; rows are picked by hash).
+#: Bytes of labelled text, all languages together, that the statistics are fitted on (expected size, at most twice as
+#: many; rows are picked by hash).
 SAMPLE_BYTES = 6_000_000
-#: Order-3 contexts kept, the most frequent ones.
-MAX_CONTEXTS = 65_536
+#: Order-3 contexts with a row of their own in a table, the most frequent ones; all others are searched for.
+DENSE_CONTEXTS = 65_536
 PIECE = 1 << 20
 
 
@@ -39,8 +41,10 @@ class Ppm:
     size: int  # symbols, one for all bytes that were not seen
     t2: np.ndarray
     t3: np.ndarray
-    kept: np.ndarray  # trigram id -> context id
+    kept: np.ndarray  # trigram id -> row of t4
     t4: np.ndarray
+    rest: np.ndarray  # trigram id * size + symbol of the 4-grams that are not in t4, ascending
+    rest_id: np.ndarray
     v: list[np.ndarray]  # v[k]: log2 P of the (k+1)-grams
     esc: list[np.ndarray]  # esc[k]: log2 escape weight of contexts of length k+1
 
@@ -66,13 +70,19 @@ class Ppm:
         s = self.symbol[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         g2 = self.t2[s[:-1] * a + s[1:]]
         g3 = self.t3[g2[:-1] * a + s[2:]]
-        g4 = self.t4[self.kept[g3[:-1]] * a + s[3:]]  # for the symbols from the fourth on
+        row = self.kept[g3[:-1]]
+        g4 = self.t4[row * a + s[3:]]  # for the symbols from the fourth on
+        if len(self.rest):
+            at = np.flatnonzero((row == 0) & (g3[:-1] > 0))
+            code = g3[at].astype(np.int64) * a + s[3:][at]
+            j = np.minimum(np.searchsorted(self.rest, code), len(self.rest) - 1)
+            g4[at] = np.where(self.rest[j] == code, self.rest_id[j], 0)
         value = self.v[3][g4]
         at = np.flatnonzero(g4 == 0)
         for k in (3, 2, 1):
             if not len(at):
                 break
-            context = self.kept[g3[at]] if k == 3 else g2[at + 1] if k == 2 else s[at + 2] + 1
+            context = g3[at] if k == 3 else g2[at + 1] if k == 2 else s[at + 2] + 1
             value[at] += self.esc[k - 1][context]
             if k == 1:
                 value[at] += self.v[0][s[at + 3]]
@@ -120,18 +130,19 @@ def train(samples: dict[str, list[bytes]]) -> Ppm:
     total = np.zeros(len(grams[2]))
     for code, c in counts[3]:
         np.add.at(total, np.searchsorted(grams[2], code // a), c)
-    keep = np.sort(np.argsort(-total, kind="stable")[:MAX_CONTEXTS])
+    keep = np.sort(np.argsort(-total, kind="stable")[:DENSE_CONTEXTS])
     keep = keep[total[keep] > 0]
     kept = np.zeros(len(grams[2]) + 1, dtype=np.int64)
     kept[keep + 1] = np.arange(1, len(keep) + 1)
-    grams[3] = grams[3][kept[np.searchsorted(grams[2], grams[3] // a) + 1] > 0]
-    counts[3] = [(c[0][m], c[1][m]) for c in counts[3] for m in [np.isin(c[0], grams[3])]]
     t2 = np.zeros(a * a, dtype=np.int64)
     t2[grams[1]] = np.arange(1, len(grams[1]) + 1)
     t3 = np.zeros((len(grams[1]) + 1) * a, dtype=np.int32)
     t3[t2[grams[2] // a] * a + grams[2] % a] = np.arange(1, len(grams[2]) + 1)
     t4 = np.zeros((len(keep) + 1) * a, dtype=np.int32)
-    t4[kept[np.searchsorted(grams[2], grams[3] // a) + 1] * a + grams[3] % a] = np.arange(1, len(grams[3]) + 1)
+    trigram = np.searchsorted(grams[2], grams[3] // a) + 1
+    dense = kept[trigram] > 0
+    t4[kept[trigram[dense]] * a + grams[3][dense] % a] = np.flatnonzero(dense) + 1
+    other, other_id = (trigram * a + grams[3] % a)[~dense], np.flatnonzero(~dense) + 1  # ascending as the grams are
     # probabilities, from the shortest context on
     v = [np.zeros((a, n), np.float32)]
     esc: list[np.ndarray] = []
@@ -164,30 +175,33 @@ def train(samples: dict[str, list[bytes]]) -> Ppm:
             own[at] = np.log2(c / (m[context[at]] + q[context[at]]))
             table[1:, j], escape[1:, j] = own, e
         v.append(table)
-        if k == 3:
-            small = np.zeros((len(keep) + 1, n), np.float32)
-            small[1:] = escape[keep + 1]
-            escape = small
         esc.append(escape)
-    return Ppm(languages, symbol, a, t2, t3, kept, t4, v, esc)
+    return Ppm(languages, symbol, a, t2, t3, kept, t4, other, other_id, v, esc)
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: int = SAMPLE_BYTES) -> Ppm:
-    """Statistics from labelled rows. Each language gives an equal share of ``sample_bytes`` at most, as whole texts picked by hash;
-    where that picks none, the text of least hash gives its first bytes, so no language is without statistics."""
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    """Statistics from labelled rows. Each language gives an equal share of ``sample_bytes`` at most, as texts picked by a hash
+    of the whole row (so that copies enter at their share), for the fit cut to that share; where that picks none, the
+    text of least hash gives its first bytes, so no language is without statistics."""
+    h = Hidden(docs)
+    pick = F.xxhash64(*h.df.columns)
+    rows = h.df.select(F.col(h.name(lang)).cast("string").alias("lang"), F.col(h.name(text)).cast("string").alias("text"), pick.alias("pick")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     if not sizes:
         return train({})
     share = sample_bytes / len(sizes)
     ratio = F.create_map(*[x for k, b in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, share / b)))])
-    picked = rows.where((F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / float(1 << 30)) < ratio[F.col("lang")])
+    most = max(int(share), 1)
+    part = F.substring("text", 1, most)
+    picked = rows.where((F.pmod("pick", F.lit(1 << 30)) / float(1 << 30)) < ratio[F.col("lang")])
     samples: dict[str, list[bytes]] = {k: [] for k in sizes}
-    for r in picked.sort("lang", "text").toLocalIterator():
-        samples[r["lang"]].append(r["text"].encode())
+    held = dict.fromkeys(sizes, 0)
+    for r in picked.select("lang", part.alias("text"), "pick").sort("lang", "pick", "text").toLocalIterator():
+        if held[r["lang"]] < 2 * most:
+            samples[r["lang"]].append(r["text"].encode()[:most])
+            held[r["lang"]] += len(samples[r["lang"]][-1])
     if missing := [k for k, x in samples.items() if not x]:
-        most = max(int(share), 1)
-        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.substring("text", 1, most), F.xxhash64("text", "lang")).alias("text"))
+        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(part, F.col("pick")).alias("text"))
         for r in first.toLocalIterator():
             samples[r["lang"]].append(r["text"].encode()[:most])
     return train(samples)
@@ -195,16 +209,18 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", sample_bytes: i
 
 def identify(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
     """docs with lang_pred, score, and bits (code length a byte in the language found)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES and MAX_CONTEXTS
-    flagged = docs.withColumn("__letter", F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES
+    h = Hidden(docs)
+    own = h.name(text)
+    flagged = h.df.withColumn("letter", F.coalesce(F.col(own).cast("string").rlike(r"\p{L}"), F.lit(False)))
 
     def make():
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
 
         def columns(batch: pa.RecordBatch) -> list:
-            letter = np.asarray(batch.column(batch.schema.get_field_index("__letter")).to_pylist(), dtype=bool) & bool(m.languages)
-            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
+            letter = np.asarray(batch.column(batch.schema.get_field_index("letter")).to_pylist(), dtype=bool) & bool(m.languages)
+            texts = as_bytes(batch.column(batch.schema.get_field_index(own)))
             best, score, bits = np.full(len(texts), len(m.languages)), np.zeros(len(texts)), np.zeros(len(texts))
             at = np.flatnonzero(letter)
             if len(at):
@@ -217,7 +233,8 @@ def identify(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
 
         return columns
 
-    return appended(flagged, "lang_pred string, score double, bits double", make, keep=docs.columns)
+    found = appended(flagged, "lang_pred string, score double, bits double", make, keep=h.df.columns)
+    return h.shown(found, "lang_pred", "score", "bits")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
