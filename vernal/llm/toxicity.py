@@ -8,7 +8,9 @@ model can't explain unlabelled texts away. Label 0 enters the prior alone, never
 A text's inputs are the shares that its features have among its words (times 100, at most CLIP), so that
 short and long texts are alike. Defined cases: a null or empty text, or one without a letter, scores the
 bias; repeated rows score alike; without a confirmed text, or without any unlabelled, every score is 0;
-duplicate label rows of a document count as toxic if one is; texts of any length are read whole.
+duplicate label rows of a document count as toxic if one is; features of equal z-score are taken in their order;
+an empty table gives no rows; a column of the input called score comes back as score_in; texts of any length are
+scored whole.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import appended, remainder, whole_text
+from vernal.llm.common import Hidden, appended, remainder, whole_text
 
-#: Expected sizes of the samples that the classifier is fitted on, picked by hash.
+#: Expected sizes of the samples that the classifier is fitted on, picked by hash, and bytes of each sample at most
+#: (a text gives its first SAMPLE_CHARS to the fit; it is scored whole).
 POSITIVES, UNLABELLED = 3_000, 6_000
+SAMPLE_BYTES, SAMPLE_CHARS = 64 << 20, 1 << 16
 FEATURES = 4_096
 CLIP = 2.0
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -137,13 +141,23 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
 
 
 def fit(labelled: DataFrame, unlabelled: DataFrame, positives: int = POSITIVES, others: int = UNLABELLED) -> Model | None:
-    """From (text, toxic) and (text): bounded samples of both."""
-    part = lambda df, most, n: df.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1))))
+    """From (text, toxic, ...) and (text, ...): bounded samples of both, picked by a hash of the whole row, so that copies
+    and null texts enter at their share."""
+    part = lambda df, most, n: df.withColumn("text", whole_text("text")).withColumn("pick", F.xxhash64(*df.columns)).where(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1))))
     counts = labelled.where("toxic IS NOT NULL").groupBy((F.col("toxic") == 1).alias("yes")).count().collect()
     n = {r["yes"]: r["count"] for r in counts}
     if not n.get(True):
         return None
-    texts = lambda df: [r["text"] for r in df.select("text").sort("text").toLocalIterator()]
+
+    def texts(df: DataFrame) -> list[str]:
+        out, held = [], 0
+        for r in df.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "pick").sort("pick", "text").toLocalIterator():
+            held += len(r["text"])
+            if held > SAMPLE_BYTES:
+                break
+            out.append(r["text"])
+        return out
+
     pos = texts(part(labelled.where("toxic = 1"), positives, n[True]))
     unl = texts(part(unlabelled, others, unlabelled.count()))
     return train(pos, unl, n[True] / sum(n.values()))
@@ -151,21 +165,23 @@ def fit(labelled: DataFrame, unlabelled: DataFrame, positives: int = POSITIVES,
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score."""
+    h = Hidden(docs)
+    own = h.name(text)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return h.shown(h.df, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
     def make():
         of = shared.value.scorer()
-        return lambda b: [np.array([of(t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()], dtype=np.float64)]
+        return lambda b: [np.array([of(t or "") for t in b.column(b.schema.get_field_index(own)).to_pylist()], dtype=np.float64)]
 
-    return appended(docs, "score double", make)
+    return h.shown(appended(h.df, "score double", make), "score")
 
 
 def op7_toxicity(spark, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whole_text("text").alias("text")).withColumn("held_out", remainder("doc_id", 3) == 1)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.where("NOT held_out")
-    model = fit(known.join(labels, "doc_id").select("text", "toxic"), known.select("text"))
+    model = fit(known.join(labels, "doc_id").select("doc_id", "text", "toxic"), known.select("doc_id", "text"))
     scored = score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
