@@ -5,11 +5,14 @@ A document's size is its number of words. Sources in code-point order (null last
 together they get 150 % of all words, each at most twice its own, the excess going to the others by weight
 until none is above (water filling, solved in closed form over the table of sources).
 
-Each source's documents are dealt by hash into BLOCKS blocks, in a random but fixed order. A target of e
+Each source's documents are dealt by hash into blocks of about BLOCK_WORDS words (BLOCKS at least), in a random but
+fixed order. A target of e
 whole passes and a rest takes every block e times, then whole blocks of one more pass up to the rest; the
 block in which the rest ends is divided in the same way twice more, and the last document of all is taken
 up to the word where the quota is met. So every source meets its rounded target exactly (but for up to n-1
-words if n identical rows share the last place), and no window ever holds more than a source's blocks.
+words if n identical rows share the last place), and no window ever holds more than a source's blocks, but for the
+table of sources and the root of the tree, which has a row for each drawn block. The number of shards follows the
+volume (SHARD_WORDS).
 
 The drawn blocks of all sources are the quotas that the tree divides: at each node, half of the draws go
 left, their numbers by source following the multivariate hypergeometric law, until every leaf (an output
@@ -18,7 +21,7 @@ disjoint by construction - and its documents are ordered by a hash (the local sh
 
 Defined cases: null or empty texts have size 0, and are in a pass that takes their block, with 0 words; a
 null source is a source of its own; a source without words has target 0; identical rows are taken alike;
-an empty table gives an empty result. Columns of docs named like a new one are replaced.
+an empty table gives an empty result. Columns of docs named like an added one come back as name_in.
 """
 
 from __future__ import annotations
@@ -26,14 +29,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vernal.llm.common import n_words, whole_text, written
+from vernal.llm.common import Hidden, n_words, whole_text
+from vernal.sources.scratch import written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BLOCKS = 64
+#: Blocks of a source at least (at the levels below the first: always), as bits of the key; words of a block and of a
+#: shard, about, where there are more.
+BITS, MOST_BITS, BLOCK_WORDS, SHARD_WORDS = 6, 20, 1 << 20, 1 << 24
+BLOCKS = 1 << BITS
 LEVELS = 3
-SHARDS = 16
+#: Shards at least and at most.
+SHARDS, MOST_SHARDS = 16, 1 << 14
 SEED = 20
 
 
@@ -56,7 +64,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _bucket(level: int) -> Column:
-    return F.shiftright(F.col("key"), 6 * level).bitwiseAND(F.lit(BLOCKS - 1)).cast("int")
+    """A row's block; at the first level of as many as the source has (bits)."""
+    if level == 0:
+        return F.pmod("key", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))).cast("int")
+    return F.shiftright(F.col("key"), MOST_BITS + BITS * (level - 1)).bitwiseAND(F.lit(BLOCKS - 1)).cast("int")
 
 
 def _place(level: int) -> Column:
@@ -66,19 +77,28 @@ def _place(level: int) -> Column:
 
 def sized(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with size and key, the hash that fixes a row's place in its source."""
-    return docs.withColumn("size", n_words(text)).withColumn("key", _hash(F.col(doc_id), whole_text(text), F.col(source)))
+    h = Hidden(docs)
+    return h.shown(h.df, n_words(h.name(text)).alias("size"), _hash(F.col(h.name(doc_id)), whole_text(h.name(text)), F.col(h.name(source))).alias("key"))
 
 
-def plan(slim: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str, DataFrame]:
+def shards_of(words: int) -> int:
+    """A power of two of shards for a mix of so many words."""
+    return min(max(SHARDS, 1 << max(-(-words // SHARD_WORDS) - 1, 0).bit_length()), MOST_SHARDS)
+
+
+def plan(slim: DataFrame, shards: int | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str, DataFrame]:
     """From (source, size, key) of all documents: the small tables that say what is taken.
 
     sources: target, passes and how the rest ends (path of blocks); blocks: shard of each drawn (sid, block,
-    pass); last: words that rows of the last place give."""
+    pass), and whether the rest takes the block whole; last: words that rows of the last place give."""
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     quota = F.floor(F.col("target") + 0.5)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    sources = written(sources.withColumn("rest", quota - F.col("passes") * F.col("source_size")), "sources")
-    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select("sid", "rest", "size", "key")
+    bits = F.least(F.greatest(F.ceil(F.log2(F.greatest(F.col("source_size"), F.lit(1)) / float(BLOCK_WORDS))), F.lit(BITS)), F.lit(MOST_BITS)).cast("int")
+    sources = written(sources.withColumn("rest", quota - F.col("passes") * F.col("source_size")).withColumn("bits", bits), "sources")
+    if shards is None:
+        shards = shards_of(int(sources.agg(F.sum("target")).first()[0] or 0))
+    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select("sid", "bits", "rest", "size", "key")
     by_source = Window.partitionBy("sid")
     levels: list[DataFrame] = []
     left = rows
@@ -90,7 +110,7 @@ def plan(slim: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGH
         b = written(b.withColumn("ends", (F.col("before") < F.col("rest")) & ~F.col("whole")), "blocks")
         levels.append(b)
         ends = b.where("ends").select("sid", F.col("bucket").alias("at"), (F.col("rest") - F.col("before")).alias("then"))
-        left = left.join(ends, "sid").where(_bucket(level) == F.col("at")).select("sid", F.col("then").alias("rest"), "size", "key")
+        left = left.join(ends, "sid").where(_bucket(level) == F.col("at")).select("sid", "bits", F.col("then").alias("rest"), "size", "key")
     # identical rows stand together
     last = left.groupBy("sid", "rest", "key").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     last = last.withColumn("before", F.sum("words").over(by_source.orderBy("key")) - F.col("words"))
@@ -98,12 +118,13 @@ def plan(slim: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGH
     path = sources
     for level, b in enumerate(levels):
         path = path.join(b.where("ends").select("sid", F.col("bucket").alias(f"end{level}")), "sid", "left")
-        whole = b.where("whole").groupBy("sid").agg(F.collect_set("bucket").alias(f"whole{level}"))  # BLOCKS at most
-        path = path.join(whole, "sid", "left")
+        if level:  # those of the first level are in the table of blocks
+            whole = b.where("whole").groupBy("sid").agg(F.collect_set("bucket").alias(f"whole{level}"))  # BLOCKS at most
+            path = path.join(whole, "sid", "left")
     # draws: each block once for each pass; the rest's pass has its whole blocks and the one in which it ends
     first = levels[0].join(sources.select("sid", "passes"), "sid")
     passes = F.col("passes") + F.when(F.col("whole") | F.col("ends"), 1).otherwise(0)
-    draws = first.where(passes > 0).select("sid", "bucket", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"))
+    draws = first.where(passes > 0).select("sid", "bucket", "whole", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"))
     # a pass is complete for a block only up to its number of passes, so that passes stay in order
     rank = Window.partitionBy("sid").orderBy("pass", _hash(F.lit("draw"), F.col("sid"), F.col("pass"), F.col("bucket")), "bucket")
     draws = draws.withColumn("draw", F.row_number().over(rank))
@@ -111,7 +132,7 @@ def plan(slim: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGH
     offset = F.sum("quota").over(Window.partitionBy("sid").orderBy("shard"))
     dealt = leaves.withColumn("to", offset).select("sid", "shard", F.explode(F.sequence(F.col("to") - F.col("quota") + 1, F.col("to"))).alias("draw"))
     blocks = draws.join(dealt.withColumn("draw", F.col("draw").cast("int")), ["sid", "draw"])
-    blocks = blocks.groupBy("sid", F.col("bucket").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    blocks = blocks.groupBy("sid", F.col("bucket").alias("block")).agg(F.max("whole").alias("whole0"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     return {"sources": path, "blocks": written(blocks, "draws"), "last": last}
 
 
@@ -133,14 +154,15 @@ def splitting_tree(quotas: DataFrame, shards: int) -> DataFrame:
 def mix(rows: DataFrame, tables: dict[str, DataFrame], source: str = "source") -> DataFrame:
     """Rows with size and key to rows with source_size, target, taken and copies: array of (pass, shard, words,
     rank), one for each time the document is drawn."""
-    s = tables["sources"].withColumnRenamed("source", "__source")
-    new = ("source_size", "target", "taken", "copies")
-    out = rows.drop(*new).join(s, F.col(source).eqNullSafe(F.col("__source"))).withColumn("block", _bucket(0))
+    h = Hidden(rows)
+    own = h.df.withColumns({"size": F.col(h.name("size")), "key": F.col(h.name("key"))})
+    out = own.join(tables["sources"], F.col(h.name(source)).eqNullSafe(F.col("source"))).withColumn("block", _bucket(0))
     out = out.join(tables["blocks"], ["sid", "block"], "left").join(tables["last"], ["sid", "key"], "left")
     none = F.array().cast("array<int>")
     within, rest = F.lit(True), F.lit(0).cast("long")
     for level in range(LEVELS):
-        whole = within & F.array_contains(F.coalesce(F.col(f"whole{level}"), none), _bucket(level))
+        held = F.array_contains(F.coalesce(F.col(f"whole{level}"), none), _bucket(level)) if level else F.coalesce("whole0", F.lit(False))
+        whole = within & held
         rest = F.when(whole, F.col("size")).otherwise(rest)
         within = within & F.coalesce(_bucket(level) == F.col(f"end{level}"), F.lit(False))
     out = out.withColumn("rest_words", F.when(within, F.coalesce("last_words", F.lit(0).cast("long"))).otherwise(rest))
@@ -149,15 +171,17 @@ def mix(rows: DataFrame, tables: dict[str, DataFrame], source: str = "source") -
     # an empty document is in the whole passes only
     out = out.withColumn("copies", F.filter(copies, lambda d: (d["words"] > 0) | (d["pass"] < F.col("passes"))))
     out = out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
-    return out.select(*[c for c in rows.columns if c not in new], *new)
+    return h.shown(out, "source_size", "target", "taken", "copies")
 
 
 def drawn(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The mix itself: a row for each copy with its shard, ordered within shards; a copy that is taken in part keeps its first words."""
-    c = mixed.select(*columns, "size", F.explode("copies").alias("copy"))
-    part = F.array_join(F.slice(F.regexp_extract_all(whole_text(text), F.lit(r"[ \t-\r]*[^ \t-\r]+"), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("copy.words").cast("int"))), "")
-    c = c.withColumn(text, F.when(F.col("copy.words") < F.col("size"), part).otherwise(F.col(text)))
-    return c.select(*columns, F.col("copy.shard").alias("shard"), F.col("copy.rank").alias("rank"))
+    h = Hidden(mixed.select(*columns))
+    own = h.name(text)
+    c = mixed.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(columns)], F.col("size").alias("words"), F.explode("copies").alias("copy"))
+    part = F.array_join(F.slice(F.regexp_extract_all(whole_text(own), F.lit(r"[ \t-\r]*[^ \t-\r]+"), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("copy.words").cast("int"))), "")
+    c = c.withColumn(own, F.when(F.col("copy.words") < F.col("words"), part).otherwise(F.col(own)))
+    return h.shown(c, F.col("copy.shard").alias("shard"), F.col("copy.rank").alias("rank"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
