@@ -16,7 +16,9 @@ Counts of frequent words (HOT, a fixed bound) go to the executors; all others ar
 nothing that is broadcast grows with the corpus.
 
 Defined cases: a null or empty text has the end alone; repeated rows are scored (and counted) each; without
-training texts both scores use N = V = 0; texts of any length are scored whole.
+training texts both scores use N = V = 0; words of equal count are ranked by their bytes; an empty table gives no rows;
+columns of the input named like an added one (n_tokens, n_known, base_score, score) come back as name_in; texts of any
+length are scored whole.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vernal.llm.common import arrow_map, as_bytes, remainder, whole_text, written
+from vernal.llm.common import Hidden, arrow_map, as_bytes, remainder, whole_text
+from vernal.sources.scratch import written
 
 TOP, BUCKETS, HOT = 1_791, 256, 200_000
 DIM, NOISE, BATCH, EPOCHS, RATE = 32, 128, 2048, 6, 0.05
@@ -350,10 +353,11 @@ def fit(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> tuple[Sco
 
 def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "text") -> DataFrame:
     """docs (without text) with n_tokens, n_known, base_score and score."""
-    spark = docs.sparkSession
+    spark, h = docs.sparkSession, Hidden(docs)
+    own = h.name(text)
     shared = spark.sparkContext.broadcast(scorer)  # HOT words and the model's matrices, both of fixed size
-    keep = [c for c in docs.columns if c != text]
-    d = docs.select(*keep, whole_text(text).alias("__text"))
+    keep = [c for c in h.df.columns if c != own]
+    d = h.df.select(*keep, whole_text(own).alias("text"))
     schema = d.select(*keep).schema.add("uid", "long").add("n_tokens", "long").add("n_hot", "long").add("base_part", "double").add("model_part", "double")
     schema.add("rare", spark.createDataFrame([], "x array<binary>").schema["x"].dataType)
 
@@ -361,7 +365,7 @@ def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "t
         s = shared.value
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = as_bytes(b.column(b.schema.get_field_index("__text")))
+            texts = as_bytes(b.column(b.schema.get_field_index("text")))
             at, held = 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
@@ -369,8 +373,8 @@ def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "t
                     continue
                 size, known, base, model, rare = s.score(texts[at : i + 1])
                 n = i + 1 - at
-                own = [b.column(b.schema.get_field_index(c)).slice(at, n) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(uid, uid + n)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))], names=schema.names)
+                kept = [b.column(b.schema.get_field_index(c)).slice(at, n) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(uid, uid + n)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))], names=schema.names)
                 uid, at, held = uid + n, i + 1, 0
 
     parts = written(arrow_map(d, run, schema), "scores")  # row numbers hold from here on
@@ -378,7 +382,7 @@ def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "t
     counted = words.join(vocabulary, "word", "left").groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("rare_part"), F.count("c").alias("n_rare"))
     zero = F.lit(0.0)
     out = parts.drop("rare").join(counted, "uid", "left")
-    return out.select(*keep, "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), (F.col("base_part") + F.coalesce("rare_part", zero)).alias("base_score"), (F.col("model_part") + F.coalesce("rare_part", zero)).alias("score"))
+    return h.shown(out, "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), (F.col("base_part") + F.coalesce("rare_part", zero)).alias("base_score"), (F.col("model_part") + F.coalesce("rare_part", zero)).alias("score"), without=(own,))
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
