@@ -4,7 +4,8 @@ language_id drops what no language can be given to; near_dedup keeps one documen
 shingles, similarity 0.8 or more, found by SimHash);
 decontaminate drops documents that hold a benchmark passage; mix draws sources to their target weights
 (documents can go, or come twice); tokens writes and rereads token files and returns a digest of them.
-Nulls, empty texts, repeated rows and empty tables are handled as the operators' modules say.
+Nulls, empty texts, repeated rows and empty tables are handled as the operators' modules say. Columns of documents,
+whatever they are called, go through all stages but the last unchanged.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vernal.llm import decontaminate, language_id, mixing, similar, simhash, tokens
-from vernal.llm.common import written
+from vernal.llm.common import Hidden
+from vernal.sources.scratch import written
 
 #: Least posterior of the language found.
 SURE = 0.5
@@ -21,8 +23,9 @@ SURE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is found; the labels of the documents themselves are learned from."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    h = Hidden(docs)
+    found = language_id.identify(h.df, language_id.fit(docs), h.name("text"))
+    return h.shown(found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +35,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    h = Hidden(docs)
+    found = decontaminate.contaminated(h.df, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), h.name("text"))
+    return h.shown(found.where(F.size("leaks") == 0))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in shards, shuffled within each; n_chars follows a text that is taken in part."""
-    rows = mixing.sized(docs)
-    tables = mixing.plan(written(rows.select("source", "size", "key"), "sizes"))
-    out = mixing.drawn(mixing.mix(rows, tables), docs.columns)
+    h = Hidden(docs)
+    source, text = h.name("source"), h.name("text")
+    rows = mixing.sized(h.df, source, text, h.name("doc_id"))
+    tables = mixing.plan(written(rows.select(F.col(source).alias("source"), "size", "key"), "sizes"))
+    out = mixing.drawn(mixing.mix(rows, tables, source), h.df.columns, text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartition("shard").sortWithinPartitions("shard", "rank").select(*docs.columns)
+        n = h.name("n_chars")
+        out = out.withColumn(n, F.length(text).cast(h.df.schema[n].dataType))
+    return h.shown(out.repartition("shard").sortWithinPartitions("shard", "rank"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
