@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 
+def load_env(path: str) -> dict[str, str]:
+    """NAME=value lines of a file, as os.environ has them after: names that are set keep their values; comments, empty
+    lines and lines without a sign are skipped, quotes around a value go."""
+    found = {}
+    with open(path, encoding="utf-8") as f:
+        for line in map(str.strip, f):
+            name, sign, value = line.partition("=")
+            if sign and not line.startswith("#"):
+                found[name.strip()] = os.environ.setdefault(name.strip(), value.strip().strip("\"'"))
+    return found
+
+
+# The windows of the seasons, thresholds, precipitation classes and defaults of a run.
 @dataclass(frozen=True)
 class Season:
     """Month-day windows, both ends as scenes are filtered (the end is exclusive)."""
@@ -15,7 +29,6 @@ class Season:
 
 @dataclass(frozen=True)
 class Thresholds:
-    # fixed values of the screening rules
     mndwi_water: float = 0.0
     ndwi_water_mss: float = 0.10
     ndmi_anomaly: float = 0.12

@@ -77,6 +77,14 @@ def tile_cover(df: DataFrame, z: str = "z") -> DataFrame:
     return df.withColumn("y", F.explode(F.sequence(tile_y(F.col("north"), zc), tile_y(F.col("south"), zc))))
 
 
+def within_limit(tiles: DataFrame, most: int = 400, site: str = "site") -> DataFrame:
+    """tiles, where no site has more than ``most`` of them; an error otherwise."""
+    many = tiles.groupBy(site).count().where(F.col("count") > most).orderBy(F.col("count").desc()).first()
+    if many is not None:
+        raise ValueError(f"{many[site]} needs {many['count']} tiles, {most} at most: choose a smaller zoom")
+    return tiles
+
+
 def natural_region(lat: Column) -> Column:
     return F.when(lat < 52.3, "grassland").when(lat < 54.3, "parkland").otherwise("boreal")
 

@@ -59,6 +59,28 @@ def combine_stations(monthly: DataFrame, priority: Column) -> DataFrame:
     return monthly.where("p IS NOT NULL").groupBy("month").agg(first.alias("r")).select("month", "r.station", "r.p")
 
 
+def station_history(sites: DataFrame, stations: DataFrame, daily: DataFrame, station_id=None, radius_km: float = 75.0, n: int = 5) -> DataFrame:
+    """(site, month, p): each site's months from the nearest station that has them, or from the one that is asked for.
+    sites (site, lon, lat), stations (station_id, lon, lat), daily (station, day, p)."""
+    near = nearest_stations(sites, stations, radius_km, n) if station_id is None else sites.select("site", F.lit(station_id).alias("station_id"), F.lit(1).alias("place"))
+    m = station_monthly(daily).join(near, F.col("station") == F.col("station_id"))
+    return m.groupBy("site", "month").agg(F.min_by("p", "place").alias("p"))
+
+
+def history(source: str, sites: DataFrame, start_year: int, end_year: int, points: DataFrame | None = None, stations: DataFrame | None = None, daily: DataFrame | None = None, station_id=None, cfg: Precip = Precip()) -> tuple[DataFrame, DataFrame]:
+    """Monthly record (series = site, year, month, p) from two years before start_year on, and the classes of the water
+    years start_year to end_year, from gridded points ("era5": lon, lat, month, p_m) or gauges ("eccc")."""
+    if source == "era5" and points is not None:
+        m = gridded_monthly(points, sites).withColumnRenamed("precip_mm", "p")
+    elif source == "eccc" and stations is not None and daily is not None:
+        m = station_history(sites, stations, daily, station_id)
+    else:
+        raise ValueError("source must be 'era5' (with points) or 'eccc' (with stations and daily)")
+    m = m.select(F.col("site").alias("series"), F.year("month").alias("year"), F.month("month").alias("month"), "p").where(F.col("year").between(start_year - 2, end_year))
+    years = classify_years(m, cfg).join(spi_years(m, cfg), ["series", "water_year"], "left")
+    return m, years.where(F.col("water_year").between(start_year, end_year))
+
+
 def rolling_total(monthly: DataFrame, k: int, series: str = "series", order: str = "month", value: str = "p") -> DataFrame:
     """Sum of the last k rows, missing until there are k."""
     w = Window.partitionBy(series).orderBy(order).rowsBetween(-(k - 1), 0)

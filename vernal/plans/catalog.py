@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vernal.functions import classify, geo, raster
-from vernal.operators import extent, focal, imagery, masks, precip
+from vernal.operators import extent, focal, imagery, masks, outline, precip
 from vernal.operators.components import components
 from vernal.plans import bindings as B
 from vernal.sources.scratch import written
@@ -414,6 +414,81 @@ def precip_chart(s, d):
     return chart(spine, _years(s, d)).drop("series").withColumn("normal_mean", F.round("normal_mean", 4))
 
 
+# --- parts that the demo grid leaves out: 10 m pixels, early sensors, edges of the inputs -------------------------
+_CLEAN10 = LABEL.replace("HAVING count(*) < 5)", "HAVING count(*) < 20)")
+
+
+@query(f"WITH RECURSIVE {_CLEAN10}, big AS (SELECT subset, label FROM lab GROUP BY ALL HAVING count(*) >= 5) SELECT l.subset, CAST(l.r AS INT) AS px_row, CAST(l.c AS INT) AS px_col FROM lab l JOIN big USING (subset, label)")
+def greatest_extent_fine(s, d):
+    """As if the pixels were of 10 m: larger holes are filled, slivers of fewer than 5 pixels go."""
+    return px(extent.clean(extent.raw_extents(_masks(s, d), B.THR), B.grid(s), 10.0, B.THR), "subset")
+
+
+_ERA = "SELECT p_partkey AS id, CAST(1972 + p_partkey % 30 AS INT) AS year, CAST(p_partkey * 7 % 97 - 3 AS DOUBLE) / 97 AS green, CAST(p_partkey * 11 % 89 AS DOUBLE) / 89 AS red, CAST(p_partkey * 13 % 83 - 2 AS DOUBLE) / 83 AS nir, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey * 17 % 79 AS DOUBLE) / 79 END AS swir1 FROM part"
+_DIFF = "CASE WHEN {0} >= 0 AND {1} >= 0 THEN ({0} - {1}) / nullif({0} + {1}, 0) END"
+_STEPS = "CAST(round({} * 10000) AS INT)"
+
+
+@query(f"WITH e AS ({_ERA}), n AS (SELECT *, {_DIFF.format('green', 'nir')} AS ndwi, {_DIFF.format('green', 'swir1')} AS mndwi, {_DIFF.format('nir', 'swir1')} AS late, {_DIFF.format('nir', 'red')} AS v FROM e) SELECT id, year, {_STEPS.format('CASE WHEN year <= 1983 THEN ndwi ELSE mndwi END')} AS wi, {_STEPS.format('CASE WHEN year <= 1983 THEN ndwi ELSE late END')} AS ndmi, {_STEPS.format('v')} AS ndvi FROM n")
+def index_eras(s, d):
+    return imagery.add_indices(B.view(s, d, _ERA, "part")).select("id", "year", *i("wi", "ndmi", "ndvi"))
+
+
+_EARLY = "SELECT p_partkey AS scene_id, CAST(p_partkey % 32 AS INT) AS qa, CAST(p_partkey * 31 % 256 AS INT) AS b4, CAST(p_partkey * 37 % 256 AS INT) AS b5, CAST(p_partkey * 41 % 256 AS INT) AS b7 FROM part"
+
+
+@query(f"WITH e AS ({_EARLY}), v AS (SELECT *, (qa & 24) = 0 AND b4 / CAST(255 AS DOUBLE) + b5 / CAST(255 AS DOUBLE) <= 1.2 AS ok FROM e) SELECT scene_id, CASE WHEN ok THEN round(b4 / CAST(255 AS DOUBLE), 9) END AS green, CASE WHEN ok THEN round(b5 / CAST(255 AS DOUBLE), 9) END AS red, CASE WHEN ok THEN round(b7 / CAST(255 AS DOUBLE), 9) END AS nir, CAST(NULL AS DOUBLE) AS swir1 FROM v")
+def early_scenes(s, d):
+    raw = B.view(s, d, _EARLY, "part").withColumnsRenamed({"b4": "B4", "b5": "B5", "b7": "B7"})
+    return imagery.harmonise(raw, "MSS1-3").select("scene_id", *[F.round(c, 9).alias(c) for c in ("green", "red", "nir", "swir1")])
+
+
+@query(f"WITH st AS ({B.STATIC}) SELECT r AS px_row, c AS px_col, worldcover, CASE WHEN jrc_occurrence > 0 THEN jrc_occurrence ELSE 0 END AS jrc_occurrence, CASE WHEN r % 3 > 0 THEN slope_deg END AS slope_deg, CASE WHEN c % 4 > 0 THEN treecover_pct END AS treecover_pct FROM st")
+def static_stack(s, d):
+    st = B.static(s, d)
+    layer = lambda c, keep: st.where(keep).select("site", "row", "col", c)
+    out = imagery.static_layers(st.select("site", "row", "col"), layer("worldcover", F.lit(True)), layer("jrc_occurrence", F.col("jrc_occurrence") > 0), layer("slope_deg", F.col("row") % 3 > 0), layer("treecover_pct", F.col("col") % 4 > 0))
+    return px(out, "worldcover", "jrc_occurrence", "slope_deg", "treecover_pct")
+
+
+@query(f"""WITH RECURSIVE {LABEL}, q AS (SELECT label, r - i.range AS br, c - j.range AS bc, count(*) AS n, sum(xor(CAST(i.range AS INT), CAST(j.range AS INT))) AS odd FROM lab, range(2) i, range(2) j WHERE subset = 'all' GROUP BY ALL),
+ k AS (SELECT label, sum(CASE WHEN n = 3 THEN 1 WHEN n = 2 AND odd IN (0, 2) THEN 2 ELSE 0 END) AS k FROM q GROUP BY label), sz AS (SELECT label, count(*) AS n_px FROM lab WHERE subset = 'all' GROUP BY label)
+ SELECT n_px, round((n_px * 400.0 + k * (1 - CAST(3.141592653589793 AS DOUBLE) / 4) * 25) / 10000, 9) AS smooth_ha FROM sz JOIN k USING (label)""")
+def smoothed_areas(s, d):
+    c = written(components(_extents(s, d).where("subset = 'all'").drop("subset"), ["site"]), "objects")
+    n = c.groupBy("site", "label").agg(F.count("*").alias("n_px"))
+    return extent.smoothed_area(c, B.PIXEL).join(n, ["site", "label"]).select("n_px", F.round("smooth_ha", 9).alias("smooth_ha"))
+
+
+@query(f"WITH by_year AS ({ORACLE_SQL['extent_by_year']}) SELECT year, spring_water_ha, late_water_ha, wet_veg_ha, wet_total_ha, CAST(sensor = 'MSS' AS INT) AS is_mss FROM by_year WHERE coverage_pct >= 50")
+def extent_chart(s, d):
+    from vernal.plans.report import extent_chart as chart
+
+    by_year = extent_by_year(s, d).withColumn("site", F.lit("demo"))
+    return chart(by_year).drop("site").withColumn("is_mss", F.col("is_mss").cast("int"))
+
+
+@query(f"WITH mon AS ({B.MONTHLY}), t AS (SELECT sum(p) OVER w AS total FROM mon WINDOW w AS (ORDER BY year, month ROWS 11 PRECEDING) QUALIFY count(p) OVER w = 12) SELECT count(*) AS n, round(avg(CAST(total <= 0 AS INT)), 9) AS zero_share, round(avg(total) FILTER (total > 0), 4) AS mean, round(avg(ln(total)) FILTER (total > 0), 9) AS mean_log FROM t")
+def spi_inputs(s, d):
+    """What the gamma fit of the 12-month index depends on."""
+    m = _monthly(s, d).withColumn("at", F.make_date("year", "month", F.lit(1)))
+    t = precip.rolling_total(m, 12, order="at").where("total_12 IS NOT NULL").select(F.col("total_12").alias("t"))
+    wet = F.when(F.col("t") > 0, F.col("t"))
+    return t.agg(F.count("*").alias("n"), F.round(F.avg((F.col("t") <= 0).cast("int")), 9).alias("zero_share"), F.round(F.avg(wet), 4).alias("mean"), F.round(F.avg(F.log(wet)), 9).alias("mean_log"))
+
+
+@query(f"WITH RECURSIVE {LABEL}, s AS (SELECT label, count(*) AS n_px, 4 * count(*) AS sides FROM lab WHERE subset = 'all' GROUP BY label), t AS (SELECT a.label, count(*) AS touching FROM lab a JOIN lab b ON a.subset = 'all' AND b.subset = 'all' AND a.label = b.label AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY a.label) SELECT n_px, CAST(sides - coalesce(touching, 0) AS INT) AS border_length, CAST(n_px AS DOUBLE) AS ring_area FROM s LEFT JOIN t USING (label)")
+def outline_lengths(s, d):
+    """Length of the objects' rings, and the area within them less holes."""
+    c = written(components(_extents(s, d).where("subset = 'all'").drop("subset"), ["site"]), "objects")
+    side = lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda a, b: F.struct((F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])).alias("n"), (a["x"] * b["y"] - b["x"] * a["y"]).alias("z")))
+    add = lambda r, k: F.aggregate(side(r), F.lit(0.0), lambda t, e: t + e[k])
+    rings = outline.outlines(c, ["site", "label"])
+    total = lambda of: F.aggregate(F.transform("rings", of), F.lit(0.0), lambda t, x: t + x)
+    out = rings.select("site", "label", total(lambda r: add(r, "n")).cast("int").alias("border_length"), F.abs(total(lambda r: add(r, "z")) / 2).alias("ring_area"))
+    return out.join(c.groupBy("site", "label").agg(F.count("*").alias("n_px")), ["site", "label"]).select("n_px", "border_length", "ring_area")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Numbered, located and classified wetlands of the demo site."""
     w, _ = _wetlands(s, d)
