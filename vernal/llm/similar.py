@@ -51,6 +51,9 @@ BANDS, ROWS = 24, 4
 APART = 2048
 _GOLAY = (23, 0b110001110101, 3)
 _PART = 1 << 17
+#: Cells of the 2^24 anchors, for counting.
+_CELL_BITS = 8
+_CELLS = 1 << 24 - _CELL_BITS
 
 
 def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
@@ -173,15 +176,41 @@ def _replicas(nodes: DataFrame) -> DataFrame:
 
 
 def _crowded(nodes: DataFrame, hot: int) -> DataFrame:
-    """(anchor, blocks) of anchors of more than hot texts. Counted by batch first; anchors that a batch meets once are
-    left out, which can make blocks larger but loses nothing."""
+    """(anchor, blocks) of anchors of more than hot texts, exactly. A first pass counts cells of anchors, a fixed number in each
+    task; the second counts the anchors of cells that hold more than hot, which all crowded ones are in."""
+
+    def anchors(b: pa.RecordBatch) -> np.ndarray:
+        return cover().near(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[1]
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_CELLS, np.int64)
+        for b in batches:
+            n += np.bincount(anchors(b) >> _CELL_BITS, minlength=_CELLS)
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], names=["cell", "n"])
+
+    cells = arrow_map(nodes.select("by_word"), coarse, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    full = np.zeros(_CELLS, bool)
+    full[[r["cell"] for r in cells.select("cell").collect()]] = True  # _CELLS at most
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def give() -> pa.RecordBatch:
+            anchor, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            anchor, n = np.unique(cover().near(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1]), pa.array(n[n > 1])], names=["anchor", "n"])
+            anchor = anchors(b)
+            held.append(anchor[full[anchor >> _CELL_BITS]])
+            if sum(map(len, held)) > 2_000_000:
+                yield give()
+        if held:
+            yield give()
 
-    counts = arrow_map(nodes.select("by_word"), run, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    few = nodes.select("by_word") if full.any() else nodes.select("by_word").limit(0)
+    counts = arrow_map(few, fine, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") > hot).select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
 
 
