@@ -339,7 +339,8 @@ def _beside(parent: Node, inner: Node | None, threshold: float) -> list[Node | s
         dense.append(run[0] is inner or (block is not None and 0 < block.density >= threshold))
     if not any(dense):  # the greatest density sum stands in
         sums = [0.0 if isinstance(run[0], str) or run[0].name not in BLOCK else run[0].total for run in runs]
-        dense = [s > 0 and s == max(sums) for s in sums]
+        top = max(sums, default=0.0)
+        dense = [s > 0 and s == top for s in sums]
     models: dict[tuple[str, str], frozenset] = {}  # by name and class: the names of blocks in those that are taken for sure
     for run, d, li in zip(runs, dense, linked, strict=True):
         if d and (run[0] is inner or not li):
