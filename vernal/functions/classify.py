@@ -14,25 +14,19 @@ SHALLOW = "Shallow Open Water"
 MARSH = "Marsh"
 FEN = "Fen (bog possible)"
 SWAMP = "Swamp"
-OVER_BASIN = "permanent open water over "
-OF_BASIN = " of the basin"
+OPEN_BASIN = "permanent open water over %s of the basin"
 FRINGE = "; marsh fringe likely"
-ZONE = "permanent open-water zone ("
-INSIDE_MARSH = ") inside a larger emergent marsh"
+OPEN_ZONE = "permanent open-water zone (%s) inside a larger emergent marsh"
 TREED = "wooded, saturated all years, no seasonal flooding -> treed peatland"
 WOODY = "woody cover with seasonal surface water"
 SATURATED = "herbaceous, persistently saturated, little open water, low wet/dry swing -> peatland"
 EMERGENT = "emergent vegetation with seasonal to semi-permanent water"
 CROPPED = "mostly cropped in WorldCover: cultivated temporary wetland"
 EPHEMERAL = "ephemeral/temporary depression (S&K I-II); may be a cultivated wetland"
+HEAD = "S&K %s (core: spring water %s of yrs, late water %s; polygon mean spring %s, late %s)"
+SWINGS = "late water wet-yrs %s vs dry-yrs %s"
+FEW_NOTE = "only %s observed years"
 STEEP_NOTE = "steep terrain: check for shadow/false positive"
-CORE = " (core: spring water "
-OF_YEARS = " of yrs, late water "
-MEAN_SPRING = "; polygon mean spring "
-MEAN_LATE = ", late "
-WET_YEARS = "late water wet-yrs "
-DRY_YEARS = " vs dry-yrs "
-OBSERVED = " observed years"
 
 
 def permanence_class(spring: Column, late: Column, thr: Thresholds) -> Column:
@@ -67,9 +61,9 @@ def classify(df: DataFrame, thr: Thresholds = Thresholds()) -> DataFrame:
     # first match decides: (condition, class, form, confidence, notes)
     rules = [
         ((sk == 5) & (open_share >= thr.open_water_frac_sow), SHALLOW, F.lit("open water"), F.when(val("jrc_occurrence") >= SURE_JRC, "high").otherwise("medium"),
-         [F.concat(F.lit(OVER_BASIN), percent(open_share), F.lit(OF_BASIN), F.when(open_share < FRINGE_OPEN, FRINGE).otherwise(""))]),
+         [F.concat(F.format_string(OPEN_BASIN, percent(open_share)), F.when(open_share < FRINGE_OPEN, FRINGE).otherwise(""))]),
         ((sk == 5) & (open_share > MIXED_OPEN) & ~is_woody, MARSH, F.lit("graminoid"), F.lit("medium"),
-         [F.concat(F.lit(ZONE), percent(open_share), F.lit(INSIDE_MARSH))]),
+         [F.format_string(OPEN_ZONE, percent(open_share))]),
         (is_woody & damp & (veg >= 0.5), FEN, wooded, F.lit("low"), [F.lit(TREED)]),
         (is_woody, SWAMP, wooded, F.lit("medium"), [F.lit(WOODY)]),
         (damp & (veg >= 0.6) & (crop < 0.2), FEN, F.lit("graminoid"), F.lit("low"), [F.lit(SATURATED)]),
@@ -85,9 +79,9 @@ def classify(df: DataFrame, thr: Thresholds = Thresholds()) -> DataFrame:
         return out
 
     few, steep = val("n_obs_years") < FEW_YEARS, val("slope_deg") > STEEP
-    head = F.concat(F.lit("S&K "), sk.cast("string"), F.lit(CORE), percent(spring_core), F.lit(OF_YEARS), percent(late_core), F.lit(MEAN_SPRING), percent(spring), F.lit(MEAN_LATE), percent(late), F.lit(")"))
-    swings = F.when(swing.isNotNull(), F.concat(F.lit(WET_YEARS), percent(opt("f_late_wet_yrs")), F.lit(DRY_YEARS), percent(opt("f_late_dry_yrs"))))
-    notes = F.concat_ws("; ", head, swings, chosen(lambda r: F.concat_ws("; ", *r[3])), F.when(few, F.concat(F.lit("only "), F.bround(val("n_obs_years"), 0).cast("int").cast("string"), F.lit(OBSERVED))), F.when(steep, STEEP_NOTE))
+    head = F.format_string(HEAD, sk.cast("string"), *map(percent, (spring_core, late_core, spring, late)))
+    swings = F.when(swing.isNotNull(), F.format_string(SWINGS, percent(opt("f_late_wet_yrs")), percent(opt("f_late_dry_yrs"))))
+    notes = F.concat_ws("; ", head, swings, chosen(lambda r: F.concat_ws("; ", *r[3])), F.when(few, F.format_string(FEW_NOTE, F.bround(val("n_obs_years"), 0).cast("int").cast("string"))), F.when(steep, STEEP_NOTE))
     return df.withColumns({
         "awcs_class": chosen(lambda r: F.lit(r[0])),
         "awcs_form": chosen(lambda r: r[1]),

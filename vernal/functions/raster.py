@@ -17,6 +17,12 @@ BANDS = {
 }
 
 
+# Scales of stored numbers, and quality flags that mask a pixel.
+LANDSAT_SCALE, LANDSAT_OFFSET, MSS_SCALE, SENTINEL_SCALE = 0.0000275, -0.2, 255.0, 1e-4
+LANDSAT_QA, MSS_QA, MSS_BRIGHT = 0b111010, 0b11000, 1.2
+SENTINEL_MASKED = (1, 3, 8, 9, 10, 11)
+
+
 def flag(c: Column) -> Column:
     """A predicate that is false where it is unknown."""
     return F.coalesce(c, F.lit(False))
@@ -24,27 +30,27 @@ def flag(c: Column) -> Column:
 
 def landsat_ok(qa: Column, blue: Column, nir: Column) -> Column:
     """Clear of dilated cloud, cloud, shadow and snow, with plausible reflectances."""
-    return flag((qa.bitwiseAND(F.lit(0b111010)) == 0) & (blue > 0) & (nir < 1))
+    return flag((qa.bitwiseAND(F.lit(LANDSAT_QA)) == 0) & (blue > 0) & (nir < 1))
 
 
 def landsat(dn: Column) -> Column:
-    return dn * 0.0000275 - 0.2
+    return dn * LANDSAT_SCALE + LANDSAT_OFFSET
 
 
 def mss_ok(qa: Column, green: Column, red: Column) -> Column:
-    return flag((qa.bitwiseAND(F.lit(0b11000)) == 0) & (green + red <= 1.2))
+    return flag((qa.bitwiseAND(F.lit(MSS_QA)) == 0) & (green + red <= MSS_BRIGHT))
 
 
 def mss(dn: Column) -> Column:
-    return dn / 255.0
+    return dn / MSS_SCALE
 
 
 def sentinel_ok(scl: Column) -> Column:
-    return flag(~scl.isin(1, 3, 8, 9, 10, 11))
+    return flag(~scl.isin(*SENTINEL_MASKED))
 
 
 def sentinel(dn: Column) -> Column:
-    return dn * 1e-4
+    return dn * SENTINEL_SCALE
 
 
 def normalised_difference(a: Column, b: Column) -> Column:

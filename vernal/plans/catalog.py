@@ -308,6 +308,14 @@ def kml_coordinates(s, d):
 
 _CHAIN = {"f": "CASE WHEN f_late >= 0.9 THEN 5 WHEN f_late >= 0.5 THEN 4 WHEN f_spring >= 0.5 THEN 3 WHEN f_spring >= 0.15 THEN 2 ELSE 1 END"}
 _PC = "CAST(CAST(round_even(100 * {}, 0) AS INT) AS VARCHAR) || '%'"
+
+
+def _said(template: str, *values: str) -> str:
+    """A text of the rationale with SQL values in its places."""
+    first, *rest = template.split("%s")
+    return f"'{first}'" + "".join(f" || {v} || '{t}'" for v, t in zip(values, rest, strict=True))
+
+
 CLASS_SQL = f"""ci AS ({B.CLASS_INPUTS}), c0 AS (SELECT *, {_CHAIN['f']} AS sk, frac_tree + frac_shrub AS woody, f_late_wet_yrs - f_late_dry_yrs AS swing, greatest(0, frac_water) AS op, lower(coalesce(natural_region, 'parkland')) IN ('boreal', 'foothills', 'canadian_shield', 'rocky_mountain') AS peat FROM ci),
  c1 AS (SELECT *, peat AND f_late < 0.2 AND f_spring < 0.3 AND coalesce(abs(swing) < 0.25, true) AS damp FROM c0),
  c2 AS (SELECT *, CASE WHEN sk = 5 AND op >= 0.5 THEN 1 WHEN sk = 5 AND op > 0.1 AND woody < 0.4 THEN 2 WHEN woody >= 0.4 AND damp AND f_wetveg >= 0.5 THEN 3 WHEN woody >= 0.4 THEN 4 WHEN damp AND f_wetveg >= 0.6 AND frac_crop < 0.2 THEN 5 WHEN sk >= 3 OR frac_herb_wet >= 0.3 OR f_wetveg >= 0.3 THEN 6 ELSE 7 END AS rule FROM c1),
@@ -317,12 +325,11 @@ CLASS_SQL = f"""ci AS ({B.CLASS_INPUTS}), c0 AS (SELECT *, {_CHAIN['f']} AS sk,
 @query(f"""WITH {CLASS_SQL} SELECT id, awcs_class, CASE WHEN rule = 1 THEN 'open water' WHEN rule IN (3, 4) THEN CASE WHEN frac_tree > 0.4 THEN 'wooded' ELSE 'shrubby' END ELSE 'graminoid' END AS awcs_form, sk AS sk_class,
  CASE sk WHEN 1 THEN 'ephemeral' WHEN 2 THEN 'temporary' WHEN 3 THEN 'seasonal' WHEN 4 THEN 'semi-permanent' ELSE 'permanent' END AS permanence,
  CASE WHEN n_obs_years < 8 OR slope_deg > 6 THEN 'low' WHEN rule = 1 THEN CASE WHEN jrc_occurrence >= 50 THEN 'high' ELSE 'medium' END WHEN rule IN (3, 5, 7) OR (rule = 6 AND frac_crop >= 0.5) THEN 'low' ELSE 'medium' END AS confidence,
- concat_ws('; ', 'S&K ' || sk || ' (core: spring water ' || {_PC.format('f_spring')} || ' of yrs, late water ' || {_PC.format('f_late')} || '; polygon mean spring ' || {_PC.format('f_spring')} || ', late ' || {_PC.format('f_late')} || ')',
-  CASE WHEN swing IS NOT NULL THEN 'late water wet-yrs ' || {_PC.format('f_late_wet_yrs')} || ' vs dry-yrs ' || {_PC.format('f_late_dry_yrs')} END,
-  CASE rule WHEN 1 THEN 'permanent open water over ' || {_PC.format('op')} || ' of the basin' || CASE WHEN op < 0.75 THEN '; marsh fringe likely' ELSE '' END WHEN 2 THEN 'permanent open-water zone (' || {_PC.format('op')} || ') inside a larger emergent marsh'
-   WHEN 3 THEN 'wooded, saturated all years, no seasonal flooding -> treed peatland' WHEN 4 THEN 'woody cover with seasonal surface water' WHEN 5 THEN 'herbaceous, persistently saturated, little open water, low wet/dry swing -> peatland'
-   WHEN 6 THEN 'emergent vegetation with seasonal to semi-permanent water' || CASE WHEN frac_crop >= 0.5 THEN '; mostly cropped in WorldCover: cultivated temporary wetland' ELSE '' END ELSE 'ephemeral/temporary depression (S&K I-II); may be a cultivated wetland' END,
-  CASE WHEN n_obs_years < 8 THEN 'only ' || CAST(n_obs_years AS INT) || ' observed years' END, CASE WHEN slope_deg > 6 THEN 'steep terrain: check for shadow/false positive' END) AS rationale FROM c3""")
+ concat_ws('; ', {_said(classify.HEAD, 'sk', *[_PC.format(c) for c in ('f_spring', 'f_late', 'f_spring', 'f_late')])},
+  CASE WHEN swing IS NOT NULL THEN {_said(classify.SWINGS, _PC.format('f_late_wet_yrs'), _PC.format('f_late_dry_yrs'))} END,
+  CASE rule WHEN 1 THEN {_said(classify.OPEN_BASIN, _PC.format('op'))} || CASE WHEN op < 0.75 THEN '{classify.FRINGE}' ELSE '' END WHEN 2 THEN {_said(classify.OPEN_ZONE, _PC.format('op'))}
+   WHEN 3 THEN '{classify.TREED}' WHEN 4 THEN '{classify.WOODY}' WHEN 5 THEN '{classify.SATURATED}' WHEN 6 THEN '{classify.EMERGENT}' || CASE WHEN frac_crop >= 0.5 THEN '; {classify.CROPPED}' ELSE '' END ELSE '{classify.EPHEMERAL}' END,
+  CASE WHEN n_obs_years < 8 THEN {_said(classify.FEW_NOTE, 'CAST(n_obs_years AS INT)')} END, CASE WHEN slope_deg > 6 THEN '{classify.STEEP_NOTE}' END) AS rationale FROM c3""")
 def classify_rules(s, d):
     return classify.classify(B.view(s, d, B.CLASS_INPUTS, "part")).select("id", "awcs_class", "awcs_form", "sk_class", "permanence", "confidence", "rationale")
 
