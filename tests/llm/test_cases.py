@@ -289,3 +289,17 @@ def test_crowded_anchors_are_counted_exactly(spark):
             want[int(x)] = want.get(int(x), 0) + 1
     got = {r["anchor"]: r["blocks"] for r in similar._crowded(nodes, 100).collect()}
     assert got == {k: math.ceil(n / 100) for k, n in want.items() if n > 100} and got
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from vernal.llm.common import arrow_map
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    d = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    n = [r["n"] for r in arrow_map(d, sizes, "n long").collect()]
+    assert sum(n) == 60 and max(n) <= 18

@@ -67,16 +67,17 @@ class Hidden:
         return df.select(*[F.col(f"in_{i}").alias(c) for i, c in kept.items()], *outputs)
 
 
-#: Rows of an Arrow batch, where the session has no value of its own: texts can be long, and a batch is in memory
-#: several times over.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most, where neither cluster nor session has a value of its own: texts can be long, and
+#: a batch is in memory several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (None, 16 << 20)}
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """mapInArrow with small batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":  # Spark's default
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    """mapInArrow with small batches. They are a setting of the session, so other Arrow maps of it get them too."""
+    spark = df.sparkSession
+    for key, (default, most) in BATCH.items():
+        if spark.sparkContext.getConf().get(key) is None and (default is None or spark.conf.get(key) == default):
+            spark.conf.set(key, most)
     return df.mapInArrow(fn, schema)
 
 
