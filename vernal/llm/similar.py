@@ -309,6 +309,10 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 def checked(links: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """links (a, b) whose texts, in sets (node, shingles), have a similarity of least or more."""
+    # sizes alone rule out most links of texts with a common passage, before any set is moved
+    size = sets.select("node", F.size("shingles").alias("n"))
+    links = links.join(size.select(F.col("node").alias("a"), F.col("n").alias("p")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("q")), "b")
+    links = links.where(F.least("p", "q") >= least * F.greatest("p", "q") - 1e-9).select("a", "b")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
@@ -414,8 +418,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     named = prints.select("h", "node").distinct()
     wanted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(met.select("node")).distinct()
     few = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).groupBy("h").agg(F.min("node").alias("node"))
-    texts = rows.select("h", "text").join(few, "h").select("node", "text")
-    sets = written(_sets(texts.groupBy("node").agg(F.min("text").alias("text"))), "sets")
+    # one of each text's copies: first in each task, then by hash, where the join finds them
+    texts = rows.select("h", "text").dropDuplicates(["h"]).join(few, "h")
+    sets = written(_sets(texts.select("node", "text")), "sets")
     root = components(checked(links, sets, least))
     more = written(missing(met, root, sets, least, min(hot, APART)), "missing")
     if not more.isEmpty():
