@@ -230,6 +230,22 @@ def test_words_are_remembered_within_bounds(monkeypatch):
     assert 0 < len(t.index) <= 50 + 200
 
 
+def test_words_of_random_signs_are_cut_as_the_library_does():
+    t, rng = tokens.Tokens(tokens.definition(), True), random.Random(3)
+    signs = ["'", "'s", "'re", "'ll", "'v", "'d", "''", *"aBtmÉé×÷ßµªº½²19 \t\n\r.,<|ÿÞþÀ\xad"]
+    for large in (False, True):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+        want = [[*e.ids, 2] for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        held = pa.array(["zz'", *texts, "s"], pa.large_string() if large else pa.string())
+        assert [x.tolist() for x in t.encode(held.slice(1, len(texts)))] == want
+
+
+def test_a_unit_is_one_block(spark):
+    d = spark.createDataFrame([(i, "a b " * 500) for i in range(600)], "doc_id long, text string").coalesce(1)
+    got = tokens.encode(d, tokens.definition(), True).selectExpr("size(blocks) as n", "aggregate(lengths, 0L, (a, x) -> a + x) as ids").collect()
+    assert len(got) > 1 and all(r["n"] == 1 and r["ids"] <= tokens.UNIT_IDS for r in got) and sum(r["ids"] for r in got) == 600 * 1001
+
+
 # --- decontamination
 def test_leaks(spark):
     random.seed(1)

@@ -3,6 +3,7 @@ maps and ranges of a key."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -69,16 +70,51 @@ class Hidden:
 
 #: Rows and bytes of an Arrow batch at most, where neither cluster nor session has a value of its own: texts can be long, and
 #: a batch is in memory several times over.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (None, 16 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 1_000), "spark.sql.execution.arrow.maxBytesPerBatch": (None, 4 << 20)}
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """mapInArrow with small batches. They are a setting of the session, so other Arrow maps of it get them too."""
+def released() -> None:
+    """Gives the system back what Arrow's pool and the C library hold in reserve: workers stay after a task, beside those of
+    the next one's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+#: What a worker keeps from task to task.
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What make() gives, kept by this worker for the next tasks, until one begins that keeps nothing or something else."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forgotten() -> None:
+    _KEPT.clear()
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataFrame:
+    """mapInArrow with small batches, whose workers keep no reserve of memory after a task, nor (unless fn keeps something)
+    what others have kept. The batches are a setting of the session, so other Arrow maps of it get them too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forgotten()
+        try:
+            yield from fn(batches)
+        finally:
+            released()
+
     spark = df.sparkSession
     for key, (default, most) in BATCH.items():
         if spark.sparkContext.getConf().get(key) is None and (default is None or spark.conf.get(key) == default):
             spark.conf.set(key, most)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def appended(df: DataFrame, columns: str, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:

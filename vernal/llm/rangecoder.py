@@ -222,8 +222,10 @@ def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
         one = np.vstack([np.zeros((1, len(own)), np.uint32), x])[:-1]
         two = np.vstack([np.zeros((2, len(own)), np.uint32), x])[:-2]
         live = (count[own] > np.arange(n)[:, None]).sum(axis=1)
-        ids[:n, own] = x
-        lows[:n, own], sizes[:n, own], escape[:n, own] = _intervals(x, (one, two), live)
+        m = int((own == own[0] + np.arange(len(own))).sum())  # lanes side by side, then any shorter ones
+        for whole, part in zip((ids, lows, sizes, escape), (x, *_intervals(x, (one, two), live)), strict=True):
+            whole[:n, own[0] : own[0] + m] = part[:, :m]
+            whole[:n, own[m:]] = part[:, m:]
     low, span, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.int64)
     words = np.zeros((64, lanes), np.uint64)  # a carry stays in a word's upper half until the end
 

@@ -16,6 +16,7 @@ text are not read, so none can clash; a text of any length stays one document in
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -27,21 +28,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernal.llm import rangecoder
-from vernal.llm.common import arrow_map, ranged, whole_text
+from vernal.llm.common import arrow_map, kept, ranged, whole_text
 from vernal.sources.scratch import written
 
 END = 2
 #: Bytes of text in a shard, and ids in a unit, about.
 SHARD_BYTES, UNIT_IDS = 4 << 20, 1 << 18
+#: Units that are decoded at a time.
+READ_UNITS = 8
 #: Ids that a task holds before it codes them; words that a worker remembers; bytes of text that are cut at a time.
-HELD_IDS, KNOWN, PART_BYTES = 1 << 21, 600_000, 4 << 20
+HELD_IDS, KNOWN, PART_BYTES = 1 << 21, 600_000, 2 << 20
 
-_LATIN = [chr(c) for c in range(0xA1, 0x100)]
-_LETTERS = "a-zA-Z" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
-_NUMBERS = "0-9" + "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _OTHER = "[^\t\n\r -~\xa1-\xff]|<\\|"
-#: What ends a run of letters: parts of words after an apostrophe, single digits, runs of other signs.
-_CUT = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+)"
+#: Kinds of Latin-1 characters: spaces, letters, numbers, other signs.
+_SPACES, _SPACE, _LETTER, _NUMBER, _SIGN = b"\t\n\r ", *range(4)
+_KIND = bytes(_SPACE if c in _SPACES else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SIGN) for c in range(256))
+_KINDS = np.frombuffer(_KIND, np.uint8)
+
+
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of Latin-1 texts (no nulls) in lower case, and how many each text has. Spaces end a word, and so does a change
+    between letters, numbers and other signs; each number is a word, and so are 's 't 're 've 'm 'll 'd where no other
+    sign stands before them."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset :][: len(texts) + 1]
+    raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(bounds[0]) : int(bounds[-1])].to_pybytes()
+    bounds = bounds - bounds[0]
+    raw, kind = raw.lower(), np.frombuffer(raw.translate(_KIND), np.uint8)  # lower() of bytes: A to Z only
+    low, own = np.frombuffer(raw, np.uint8), None
+    if not raw.isascii():  # two bytes: C2 or C3, and one more
+        first = np.flatnonzero(low >= 0xC0)
+        own, code = first + 1, ((low[first] & 3) << 6) | (low[first + 1] & 63)
+        kind, low = kind.copy(), low.copy()
+        kind[first] = kind[own] = _KINDS.take(code)
+        low[own[(code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)]] += 32
+        raw = low.tobytes()
+    start = kind == _NUMBER
+    start[1:] |= kind[1:] != kind[:-1]
+    if own is not None:
+        start[own] = False
+    start[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    mark = np.flatnonzero(low == 39)
+    mark = mark[start[mark]]
+    if len(mark):
+        end = bounds[np.searchsorted(bounds, mark, side="right")]
+        one, two = (np.where(mark + k < end, low.take(mark + k, mode="clip"), 0).astype(np.int32) for k in (1, 2))
+        wide = np.where(np.isin(one, list(b"stmd")), 2, np.where(np.isin((one << 8) | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]), 3, 0))
+        mark, end, wide = (x[wide > 0] for x in (mark, end, wide))
+        start[mark + 1] = False
+        after = (mark + wide)[mark + wide < end]
+        start[after] |= kind[after] == _LETTER
+    at = np.flatnonzero(start)
+    size = np.diff(at, append=len(low))
+    word = np.flatnonzero(kind.take(at))  # not _SPACE
+    at, ends = at.take(word), np.r_[0, np.cumsum(size.take(word))]
+    wide = ends[-1] >= 1 << 31
+    ends = pa.py_buffer(ends if wide else ends.astype(np.int32))
+    cut = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(at), [None, ends, pa.py_buffer(raw.translate(None, _SPACES))])
+    return cut, np.diff(np.searchsorted(at, bounds))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,12 +99,13 @@ _BYTES = _byte_letters()
 
 class Tokens:
     """A tokenizer with a memory of words. by_word: its normalizer lower-cases, its pre-tokenizer cuts texts into letters,
-    single digits and what _CUT names and takes words as bytes, and a word's last id has an end of word. Other
+    single digits and signs as words() does and takes words as bytes, and a word's last id has an end of word. Other
     tokenizers, and texts outside Latin-1, go through the library as a whole."""
 
     def __init__(self, definition: str, by_word: bool) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would hold memory of their own
         self.tokenizer, self.by_word = Tokenizer.from_str(definition), by_word
         if by_word:
             self.words_only = Tokenizer(self.tokenizer.model)
@@ -133,35 +177,31 @@ class Tokens:
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.index) > KNOWN:
             self._forget()
-        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _CUT, r" \1 "))
-        coded = cut.flatten().dictionary_encode()
+        cut, each = words(texts)
+        if not len(cut):
+            return [np.full(1, END, self.kind) for _ in range(len(texts))]
+        coded = cut.dictionary_encode()
         one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary.cast(pa.large_string()))
         names = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # words hold no space
-        if "" not in self.index:
-            self._add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # before a first word, after a last one
-        at = list(map(self.index.get, names))
-        if None in at:
-            self._learn([x for x, k in zip(names, at, strict=True) if k is None])
-            at = list(map(self.index.get, names))
-        at = np.array(at, np.int64)
+        at = np.array([-1 if k is None else k for k in map(self.index.get, names)], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self._learn([names[k] for k in new])
         self.used[at] += 1
         ids, n = self._ids(at[coded.indices.to_numpy()])
-        bounds = np.r_[0, np.cumsum(n, dtype=np.int64)][np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)]]
+        bounds = np.r_[0, np.cumsum(n, dtype=np.int64)][np.r_[0, np.cumsum(each)]]
         return [np.append(ids[a:b], ids.dtype.type(END)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-_OF: dict[tuple[int, bool], Tokens] = {}
-
-
 def remembered(definition: str, by_word: bool) -> Tokens:
-    """One of each tokenizer in a worker, so that words learned in a task serve the next ones."""
-    key = (hash(definition), by_word)
-    if key not in _OF:
-        _OF.clear()
-        _OF[key] = Tokens(definition, by_word)
-    return _OF[key]
+    """One tokenizer in a worker, so that words learned in a task serve the next ones."""
+    return kept(("tokens", hash(definition), by_word), lambda: Tokens(definition, by_word))
 
 
+#: Rows after which the Parquet writer looks whether a page is full: a row can be hundreds of kilobytes, and a page of a
+#: hundred (Spark's least) stands in memory several times, also as a buffer of the codec.
+_PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
 _FILE = "shard int, unit long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
@@ -169,7 +209,7 @@ def encode(docs: DataFrame, definition: str, by_word: bool, bits: int = 16) -> D
     """(doc_id, text) to rows of the file format."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text")).withColumn("h", F.xxhash64("text"))
     d, n = ranged(d, "doc_id", F.octet_length("text"), SHARD_BYTES)
-    d = d.repartition(max(1, -(-n // 2)), "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "h")
+    d = d.repartition(max(1, -(-n // 4)), "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "h")
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +241,8 @@ def encode(docs: DataFrame, definition: str, by_word: bool, bits: int = 16) -> D
         for b in batches:
             pids, ids = (b.column(i).to_pylist() for i in range(2))
             for pid, doc_id, x in zip(pids, ids, tokens.encode(b.column(2)), strict=True):
-                if pid != pid_now or size >= UNIT_IDS:
-                    if held >= HELD_IDS:
+                if pid != pid_now or size and size + len(x) > UNIT_IDS:  # a unit is one block, unless a text is longer
+                    if held >= HELD_IDS or len(units) >= HELD_IDS // UNIT_IDS:
                         yield flush()
                     unit_now = unit_now + 1 if pid == pid_now else 0
                     pid_now, size = pid, 0
@@ -214,35 +254,46 @@ def encode(docs: DataFrame, definition: str, by_word: bool, bits: int = 16) -> D
         if units:
             yield flush()
 
-    return arrow_map(d.select("pid", "doc_id", "text"), run, _FILE)
+    return arrow_map(d.select("pid", "doc_id", "text"), run, _FILE, keeps=True)
 
 
 def read(files: DataFrame) -> DataFrame:
     """Decoded documents: (shard, unit, place, doc_id, before: ids before it in its unit, ids: little-endian u32)."""
 
+    names = ["shard", "unit", "doc_ids", "lengths", "blocks"]
+
+    def decoded(units: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = iter(rangecoder.decode([x for *_, blocks in units for x in blocks]))
+        for shard, unit, doc_ids, lengths, blocks in units:
+            whole = np.concatenate([next(found) for _ in blocks]).astype("<u4")
+            ends = np.cumsum(lengths)
+            if int(ends[-1]) != len(whole):
+                raise ValueError("a unit's lengths don't match its ids")
+            n = len(ends)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard] * n, pa.int32()),
+                    pa.array([unit] * n, pa.int64()),
+                    pa.array(np.arange(n, dtype=np.int64)),
+                    pa.array(doc_ids, pa.int64()),
+                    pa.array(np.r_[0, ends[:-1]].astype(np.int64)),
+                    pa.array([x.tobytes() for x in np.split(whole, ends[:-1])], pa.binary()),
+                ],
+                names=["shard", "unit", "place", "doc_id", "before", "ids"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 8) for whole in batches for at in range(0, whole.num_rows, 8)):  # bounded memory, full lockstep groups
-            col = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in b.schema.names}
-            ids = iter(rangecoder.decode([x for u in col["blocks"] for x in u]))
-            for i in range(b.num_rows):
-                whole = np.concatenate([next(ids) for _ in col["blocks"][i]]).astype("<u4")
-                ends = np.cumsum(col["lengths"][i])
-                if int(ends[-1]) != len(whole):
-                    raise ValueError("a unit's lengths don't match its ids")
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([col["shard"][i]] * n, pa.int32()),
-                        pa.array([col["unit"][i]] * n, pa.int64()),
-                        pa.array(np.arange(n, dtype=np.int64)),
-                        pa.array(col["doc_ids"][i], pa.int64()),
-                        pa.array(np.r_[0, ends[:-1]].astype(np.int64)),
-                        pa.array([x.tobytes() for x in np.split(whole, ends[:-1])], pa.binary()),
-                    ],
-                    names=["shard", "unit", "place", "doc_id", "before", "ids"],
-                )
-
-    return arrow_map(files.select("shard", "unit", "doc_ids", "lengths", "blocks"), run, "shard int, unit long, place long, doc_id long, before long, ids binary")
+        units: list[tuple] = []
+        for b in batches:
+            for at in range(b.num_rows):  # bounded memory, full lockstep groups
+                units.append(tuple(b.column(b.schema.get_field_index(c))[at].as_py() for c in names))
+                if len(units) == READ_UNITS:
+                    yield from decoded(units)
+                    units.clear()
+        if units:
+            yield from decoded(units)
+
+    return arrow_map(files.select(*names), run, "shard int, unit long, place long, doc_id long, before long, ids binary")
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -267,7 +318,7 @@ def definition(name: str = "word_bpe_49k.json", path: str | None = None) -> str:
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the files, reads them back: (doc_id, start, n_tokens, ids_crc32)."""
-    files = written(encode(docs, definition(path=path), by_word=True), "tokens")
+    files = written(encode(docs, definition(path=path), by_word=True), "tokens", **_PAGES)
     found = read(files).select("shard", "unit", "doc_id", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     return found.join(starts(files), ["shard", "unit"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -33,11 +33,12 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table; it goes when the program ends, or by drop() before (the result's attribute path names it)."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a table; it goes when the program ends, or by drop() before (the result's attribute path names it). options are
+    those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_drop_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
