@@ -291,6 +291,39 @@ def test_crowded_anchors_are_counted_exactly(spark):
     assert got == {k: math.ceil(n / 100) for k, n in want.items() if n > 100} and got
 
 
+def test_workers_keep_nothing_for_other_operators(spark):
+    import pyarrow as pa
+
+    from vernal.llm import common
+
+    def held(keep):
+        def run(batches):
+            from vernal.llm import common
+
+            for _ in batches:
+                if keep:
+                    common.kept("words", dict)
+                yield pa.RecordBatch.from_arrays([pa.array([len(common._KEPT)])], names=["n"])
+
+        return [r["n"] for r in common.arrow_map(spark.range(0, 8, 1, 8), run, "n long", keeps=keep).collect()]
+
+    assert held(True) == [1] * 8 and held(False) == [0] * 8
+
+
+def test_batches_hold_a_few_megabytes(spark):
+    import pyarrow as pa
+
+    from vernal.llm.common import arrow_map
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    d = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    n = [r["n"] for r in arrow_map(d, sizes, "n long").collect()]
+    assert sum(n) >= 24 << 20 and max(n) <= 6 << 20
+
+
 def test_batches_are_bounded_in_bytes(spark):
     import pyarrow as pa
 
