@@ -1,9 +1,11 @@
 """The ten operators against brute force on small tables, and their defined cases: nulls in any column, empty
 and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import gc
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vernal.llm import ctph, decontaminate, html, language_id, lm, mixing, queries, rangecoder, secrets, similar, simhash, tokens, toxicity
 from vernal.llm.graph import components
+from vernal.llm.known import Words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, text_ string"
@@ -240,6 +243,41 @@ def test_words_of_random_signs_are_cut_as_the_library_does():
         assert [x.tolist() for x in t.encode(held.slice(1, len(texts)))] == want
 
 
+def test_words_are_known_without_objects_of_python():
+    t = tokens.Tokens(tokens.definition(), True)
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" + "q" * (i % 9) for i in range(20000 * k)) for k in (0, 1)])
+    t.encode(texts.slice(0, 1))
+    gc.collect()
+    before = sys.getallocatedblocks()
+    got = t.encode(texts)
+    gc.collect()
+    assert len(t.index) > 15000 and sys.getallocatedblocks() - before < 2000  # time and memory for each word, were there any
+    assert got[1].tolist() == [*t.tokenizer.encode(texts[1].as_py(), add_special_tokens=False).ids, 2]
+
+
+def test_numbers_of_words(monkeypatch):
+    monkeypatch.setattr("vernal.llm.known.AT_A_TIME", 700)
+    rng, known, want = random.Random(5), Words(), {}
+    for turn in range(12):
+        words = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 30]))).encode() for _ in range(rng.randint(1, 1500))]
+        size = np.array([len(x) for x in words])
+        numbers, new = known.numbers(b" ".join(words), np.cumsum(size + 1) - size - 1, size)
+        assert not {words[i] for i in new} & want.keys()
+        want |= {words[i]: len(want) + k for k, i in enumerate(new)}
+        assert [want[x] for x in words] == numbers.tolist() and len(known) == len(want)
+        if turn % 4 == 3:
+            keep = sorted(rng.sample(range(len(want)), len(want) // 3))
+            known, names = known.only(np.array(keep)), list(want)
+            want = {names[k]: i for i, k in enumerate(keep)}
+
+
+def test_range_coder_keeps_its_bytes():
+    rng = np.random.default_rng(0)
+    ids = [rng.integers(0, top, (4, n)).min(axis=0).astype(np.uint32) for n, top in ((70001, 49000), (70001, 1 << 20))]
+    block = np.r_[ids[0], rng.permutation(1 << 16).astype(np.uint32)]  # more ids than order 0 tells apart
+    assert [zlib.crc32(rangecoder.encode([b], 20)[0]) for b in (ids[0], block, ids[1])] == [513449983, 1351521492, 2658043386]
+
+
 def test_a_unit_is_one_block(spark):
     d = spark.createDataFrame([(i, "a b " * 500) for i in range(600)], "doc_id long, text string").coalesce(1)
     got = tokens.encode(d, tokens.definition(), True).selectExpr("size(blocks) as n", "aggregate(lengths, 0L, (a, x) -> a + x) as ids").collect()

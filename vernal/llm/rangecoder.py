@@ -46,13 +46,14 @@ def _bounds(steps: int) -> list[int]:
     return [b for b in [1, 2, 4, 8, 16, 32, *range(64, steps, 64)] if b < steps] + ([steps] if steps else [])
 
 
-def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, ascending, and their counts."""
-    if int(ids.max()) >= _DENSE:
-        return np.unique(ids, return_counts=True)
-    n = np.bincount(ids)
-    found = np.flatnonzero(n)
-    return found.astype(np.uint32), n[found]
+def _mask(where: np.ndarray) -> np.ndarray:
+    """All bits where it is true."""
+    return np.negative(where.astype(np.uint32))
+
+
+def _choose(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a under the mask, else b: no branches, which np.where has."""
+    return b ^ ((a ^ b) & mask)
 
 
 class _Block:
@@ -60,22 +61,35 @@ class _Block:
 
     def __init__(self) -> None:
         self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.start, self.share = np.zeros(1, np.int64), np.full(1, _FULL)
+        self.start, self.share = np.zeros(1, np.uint32), np.full(1, _FULL, np.uint32)
 
     def learn(self, ids: np.ndarray) -> None:
-        found, n = _counted(ids)
-        at = np.searchsorted(self.ids, found)
-        old = self.ids.take(at, mode="clip") == found if len(self.ids) else np.zeros(len(found), bool)
-        self.counts[at[old]] += n[old]
-        new = np.flatnonzero(~old)
-        escaped = int(n[new].sum())
-        new = new[: _KNOWN - len(self.ids)]
-        self.ids = np.insert(self.ids, at[new], found[new])
-        self.counts = np.insert(self.counts, at[new], n[new])
+        top = int(max(ids.max(), self.ids[-1] if len(self.ids) else 0)) + 1
+        if top <= _DENSE:
+            n = np.bincount(ids.astype(np.int64), minlength=top)
+            escaped = len(ids) - int(n.take(self.ids).sum())
+            n[self.ids] += self.counts
+            found = np.flatnonzero(n > 0)
+            if len(found) > _KNOWN:
+                found = self._most(found)
+            self.ids, self.counts = found.astype(np.uint32), n.take(found)
+        else:
+            found, n = np.unique(ids, return_counts=True)
+            old = np.isin(found, self.ids)
+            escaped = int(n[~old].sum())
+            all_ids, where = np.unique(np.r_[self.ids, found], return_inverse=True)
+            counts = np.bincount(where, np.r_[self.counts, n]).astype(np.int64)
+            kept = np.searchsorted(all_ids, self._most(all_ids))
+            self.ids, self.counts = all_ids[kept], counts[kept]
         escape = min(max((escaped + 1) * _FULL // (len(ids) + 2), 1), _FULL // 4)
         share = 1 + self.counts * (_FULL - escape - len(self.ids)) // max(int(self.counts.sum()), 1)
-        self.share = np.r_[_FULL - int(share.sum()), share]
-        self.start = np.cumsum(self.share) - self.share
+        share = np.r_[_FULL - int(share.sum()), share]
+        self.start, self.share = (np.cumsum(share) - share).astype(np.uint32), share.astype(np.uint32)
+
+    def _most(self, found: np.ndarray) -> np.ndarray:
+        """Ids found (ascending, with all that were known): the known ones, and the first new ones that there is room for."""
+        new = ~np.isin(found, self.ids)
+        return found[~new | (np.cumsum(new) <= _KNOWN - len(self.ids))]
 
     def ranks(self, ids: np.ndarray) -> np.ndarray:
         """Entries of ids; 0 for those not seen."""
@@ -90,11 +104,6 @@ class _Block:
         return np.where(self.ids.take(at, mode="clip") == ids, at + 1, 0)
 
 
-#: By confidence and success: whether a slot keeps its id, and what is added to its confidence.
-_KEEPS = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
-_MOVES = np.array([0, 1, 0, 1, -1, 1, -2, 0], np.int32).astype(np.uint32)
-
-
 class _Contexts:
     """Orders 1 and 2 of a number of blocks: slots hold an id and a confidence of 0 to 3 (the lowest two bits)."""
 
@@ -102,45 +111,48 @@ class _Contexts:
         self.slots = [np.zeros(blocks << h, np.uint32) for h in (_H1, _H2)]
         self.right = [np.tile(np.array([1, 8, 16, 24], np.int64), blocks) for _ in range(2)]
         self.seen = [np.full(4 * blocks, 32, np.int64) for _ in range(2)]
-        self.weight = [np.zeros(4 * blocks, np.int32) for _ in range(2)]
-        for k in range(2):
-            self._weigh(k)
+        self.weight = [np.zeros(4 * blocks, np.uint32) for _ in range(2)]
+        for j in range(2):
+            self._weigh(j, slice(None))
 
-    def _weigh(self, k: int) -> None:
-        self.weight[k][:] = np.clip((self.right[k] << _MIX) // self.seen[k], _ONE // 256, _ONE - _ONE // 64)
+    def _weigh(self, j: int, own: slice) -> None:
+        self.weight[j][own] = np.clip((self.right[j][own] << _MIX) // self.seen[j][own], _ONE // 256, _ONE - _ONE // 64)
 
     @staticmethod
-    def at(block: np.ndarray | int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of orders 1 and 2 after the ids two, one."""
+    def at(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of orders 1 and 2 in a block after the ids two, one."""
         h = one * np.uint32(2654435761)
-        return (block << _H1) + (h >> np.uint32(32 - _H1)), (block << _H2) + ((h ^ (two * np.uint32(2246822519))) >> np.uint32(32 - _H2))
+        return tuple(x.astype(np.int64) for x in (h >> np.uint32(32 - _H1), (h ^ (two * np.uint32(2246822519))) >> np.uint32(32 - _H2)))
 
-    def held(self, at: tuple) -> tuple[np.ndarray, np.ndarray]:
-        return self.slots[0].take(at[0]), self.slots[1].take(at[1])
+    def own(self, k: int) -> list[np.ndarray]:
+        """Slots of block k."""
+        return [x[k << h : (k + 1) << h] for x, h in zip(self.slots, (_H1, _H2), strict=True)]
 
     def predict(self, at: tuple, block4: np.ndarray | int):
         """Slot contents, guesses and weights (of _ONE) of orders 1 and 2."""
-        e1, e2 = self.held(at)
+        e1, e2 = self.slots[0].take(at[0]), self.slots[1].take(at[1])
         g1, g2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
         w2 = self.weight[1].take(block4 + (e2 & np.uint32(3)))
-        w1 = (self.weight[0].take(block4 + (e1 & np.uint32(3))) * (_ONE - w2)) >> _MIX
+        w1 = (self.weight[0].take(block4 + (e1 & np.uint32(3))) * (np.uint32(_ONE) - w2)) >> np.uint32(_MIX)
         w1 *= g1 != g2
         return e1, e2, g1, g2, w1, w2
 
-    def learn(self, at: tuple, held: tuple, block4: np.ndarray | int, ids: np.ndarray) -> None:
-        """ids after the slots at, which held so much; where a slot occurs more than once, its last place stays."""
-        for k in range(2):
-            e = held[k]
-            # 8 cases: confidence, and whether the guess was right
-            case = ((e & np.uint32(3)) << np.uint32(1)) | ((e >> np.uint32(2)) == ids)
-            n = np.bincount(2 * block4 + case, minlength=2 * len(self.seen[k])).reshape(-1, 2)
-            self.right[k] += n[:, 1]
-            self.seen[k] += n.sum(axis=1)
-            big = self.seen[k] > 1 << 14
-            self.right[k] >>= big
-            self.seen[k] >>= big
-            self.slots[k][at[k]] = np.where(_KEEPS.take(case), e + _MOVES.take(case), ids << np.uint32(2))
-            self._weigh(k)
+    def learn(self, k: int, at: tuple, held: tuple, ids: np.ndarray) -> None:
+        """ids of block k after its slots at, which held so much; where a slot occurs more than once, its last place stays.
+        A right guess gains confidence, a wrong one goes down to 1 from 2 or 3 and gives way to the id from 0 or 1."""
+        own = slice(4 * k, 4 * k + 4)
+        for j, slots in enumerate(self.own(k)):
+            e = held[j]
+            sure, right = (e & np.uint32(3)).astype(np.uint8), (e >> np.uint32(2)) == ids
+            n = np.bincount((sure << np.uint8(1)) | right, minlength=8).reshape(4, 2)
+            self.right[j][own] += n[:, 1]
+            self.seen[j][own] += n.sum(axis=1)
+            big = self.seen[j][own] > 1 << 14
+            self.right[j][own] >>= big
+            self.seen[j][own] >>= big
+            stays = (sure > 1) & ~right
+            slots[at[j]] = _choose(_mask(stays), e & ~np.uint32(3), ids << np.uint32(2)) | (np.minimum(sure + np.uint8(1), np.uint8(3)) * right | stays)
+            self._weigh(j, own)
 
 
 def _lanes_of(ids: int) -> int:
@@ -190,18 +202,19 @@ def _intervals(ids: np.ndarray, before: tuple, live: np.ndarray) -> tuple[np.nda
             alive = np.arange(part[1].stop) < live[start:end, None]
         shape = ids[part][alive].shape
         x = ids[part][alive].ravel()
-        at = contexts.at(0, *(b[part][alive].ravel() for b in before))
+        at = contexts.at(*(b[part][alive].ravel() for b in before))
         e1, e2, g1, g2, w1, w2 = contexts.predict(at, 0)
         is2 = g2 == x
         is1 = (g1 == x) & ~is2
         both = w1 + w2
         rank = zero.ranks(x)
-        rank[is1 | is2] = 0
-        rest = _ONE - both
-        low[part][alive] = np.where(is2, 0, np.where(is1, w2 << _ZERO, (both << _ZERO) + rest * zero.start.take(rank))).reshape(shape)
-        size[part][alive] = np.where(is2, w2 << _ZERO, np.where(is1, w1 << _ZERO, rest * zero.share.take(rank))).reshape(shape)
+        rank *= ~(is1 | is2)
+        rest, shift = np.uint32(_ONE) - both, np.uint32(_ZERO)
+        under1, under2 = _mask(is1), _mask(is2)
+        low[part][alive] = (_choose(under1, w2 << shift, (both << shift) + rest * zero.start.take(rank)) & ~under2).reshape(shape)
+        size[part][alive] = _choose(under2, w2 << shift, _choose(under1, w1 << shift, rest * zero.share.take(rank))).reshape(shape)
         escape[part][alive] = ((rank == 0) & ~is1 & ~is2).reshape(shape)
-        contexts.learn(at, (e1, e2), 0, x)
+        contexts.learn(0, at, (e1, e2), x)
         zero.learn(x)
         start = end
     return low, size, escape
@@ -306,7 +319,7 @@ class _Tables:
             self.interval, self.id = (np.hstack([x, np.zeros_like(x)]) for x in (self.interval, self.id))
             self.width *= 2
         self.entry[k] = np.repeat(np.arange(n, dtype=np.uint16), zero.share)
-        self.interval[k, :n] = (zero.start << 16) | (zero.share - 1)
+        self.interval[k, :n] = (zero.start << np.uint32(16)) | (zero.share - np.uint32(1))
         self.id[k, 1:n] = zero.ids
 
 
@@ -322,15 +335,18 @@ def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
             raise ValueError("a block is cut off")
         streams += np.split(np.frombuffer(body, "<u4"), np.cumsum(sizes)[:-1])
     width = max(map(len, streams)) + 4
-    words = np.zeros((lanes, width), np.uint64)
+    words = np.zeros((lanes, width), np.uint32)
     for j, i in enumerate(order):
         words[j, : len(streams[i])] = streams[i]
     flat = words.ravel()
     base = np.arange(lanes) * width
-    code, span, pos = (words[:, 0] << _32) | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 2)
+    code, span, pos = (words[:, 0].astype(np.uint64) << _32) | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 2)
     contexts, tables, zeros = _Contexts(len(blocks)), _Tables(len(blocks)), [_Block() for _ in blocks]
     own = [np.flatnonzero(block == k) for k in range(len(blocks))]
-    four, slots0 = block * 4, block * _FULL
+    # lanes of a block are mostly side by side
+    own = [(x, slice(int(x[0]), int(x[-1]) + 1) if len(x) and x[-1] - x[0] == len(x) - 1 else x) for x in own]
+    four, slots0, slots1, slots2 = block * 4, block * _FULL, block << _H1, block << _H2
+    one, full, zero = np.uint32(_ONE), np.uint32(_FULL - 1), np.uint32(_ZERO)
     ids_at = np.zeros((steps + 2, lanes), np.uint32)  # two rows of zeros before the first step
 
     def take(who: np.ndarray | slice, c: np.ndarray, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
@@ -351,19 +367,23 @@ def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
         row0 = block * tables.width
         for t in range(start, end):
             n = int(active[t])
-            _, _, g1, g2, w1, w2 = contexts.predict(contexts.at(block[:n], ids_at[t + 1, :n], ids_at[t, :n]), four[:n])
+            at1, at2 = contexts.at(ids_at[t + 1, :n], ids_at[t, :n])
+            at1 += slots1[:n]
+            at2 += slots2[:n]
+            _, _, g1, g2, w1, w2 = contexts.predict((at1, at2), four[:n])
             both = w1 + w2
             c = code[:n]
             r = span[:n] >> _STEP
-            v = np.minimum(c // r, _MOST).astype(np.int32)
-            mixed = v >> _ZERO
+            v = np.minimum(c // r, _MOST).astype(np.uint32)
+            mixed = v >> zero
             is2, is0 = mixed < w2, mixed >= both
-            rest = _ONE - both
-            at = row0[:n] + entries.take(slots0[:n] + (((v - (both << _ZERO)) // rest) & (_FULL - 1)))
+            rest, both = one - both, both << zero
+            at = entries.take(slots0[:n] + (((v - both) // rest) & full)) + row0[:n]
             found = intervals.take(at)
-            cum = np.where(is0, (both << _ZERO) + rest * (found >> np.uint32(16)), (w2 << _ZERO) * ~is2)
-            freq = np.where(is0, rest * ((found & np.uint32(_FULL - 1)) + np.uint32(1)), np.where(is2, w2, w1) << _ZERO)
-            ids = np.where(is0, known.take(at), np.where(is2, g2, g1))
+            under0, under2 = _mask(is0), _mask(is2)
+            cum = _choose(under0, both + rest * (found >> np.uint32(16)), (w2 << zero) & ~under2)
+            freq = _choose(under0, rest * ((found & full) + np.uint32(1)), _choose(under2, w2, w1) << zero)
+            ids = _choose(under0, known.take(at), _choose(under2, g2, g1))
             take(slice(0, n), c, r, cum.astype(np.uint64), freq.astype(np.uint64))
             who = np.flatnonzero(is0 & (at == row0[:n]))
             if len(who):
@@ -376,21 +396,18 @@ def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
                     x = (x << np.uint32(wide)) | v.astype(np.uint32)
                 ids[who] = x
             ids_at[t + 2, :n] = ids
-        n = int(active[start])
-        alive = np.arange(start, end)[:, None] < count[:n]
-        whose = np.broadcast_to(block[:n], alive.shape)[alive]
-        one, two, x = (ids_at[start + j : end + j, :n][alive] for j in (1, 0, 2))
-        at = contexts.at(whose, one, two)
-        contexts.learn(at, contexts.held(at), 4 * whose, x)
-        for k, cols in enumerate(own):
-            cols = cols[count[cols] > start]
-            if len(cols):
-                zeros[k].learn(ids_at[start + 2 : end + 2, cols][np.arange(start, end)[:, None] < count[cols]])
-                tables.put(k, zeros[k])
+        for k, (cols, side) in enumerate(own):
+            if not len(cols) or count[cols[0]] <= start:
+                continue
+            alive = slice(None) if count[cols[-1]] >= end else np.arange(start, end)[:, None] < count[cols]
+            before1, before2, x = (ids_at[start + j : end + j, side][alive].ravel() for j in (1, 0, 2))
+            at = contexts.at(before1, before2)
+            contexts.learn(k, at, [y.take(a) for y, a in zip(contexts.own(k), at, strict=True)], x)
+            zeros[k].learn(x)
+            tables.put(k, zeros[k])
         start = end
-    out = [np.zeros(h[3], np.uint32) for h in heads]
-    for j in range(lanes):
-        out[block[j]][first[j] : first[j] + count[j]] = ids_at[2 : 2 + count[j], j]
+    # a block's lanes are its ids in a row
+    out = [ids_at[2 : 2 + int(count[cols[0]]), side].T.ravel()[: h[3]] if len(cols) else np.zeros(0, np.uint32) for (cols, side), h in zip(own, heads, strict=True)]
     for x, h in zip(out, heads, strict=True):
         if zlib.crc32(x.astype("<u4").tobytes()) != h[4]:
             raise ValueError("a block's checksum is wrong")

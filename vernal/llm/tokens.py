@@ -7,7 +7,8 @@ documents with shard, unit, doc_ids, lengths and blocks (see rangecoder). Readin
 checks each checksum.
 
 The tokenizer splits a text into words that it encodes one by one, so a worker keeps the ids of words that it has
-seen (Latin-1 texts without special tokens; others go through the library as a whole).
+seen and finds them by the words' bytes, see known (Latin-1 texts without special tokens; others go through the library
+as a whole).
 
 Defined cases: a null or empty text gives the end id alone; documents with equal ids stand in text-hash
 order, null ids first; repeated rows are written each; an empty table gives no files and no rows; columns but doc_id and
@@ -19,7 +20,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from vernal.llm import rangecoder
 from vernal.llm.common import arrow_map, kept, ranged, whole_text
+from vernal.llm.known import Words
 from vernal.sources.scratch import written
 
 END = 2
@@ -46,10 +48,10 @@ _KIND = bytes(_SPACE if c in _SPACES else {"L": _LETTER, "N": _NUMBER}.get(unico
 _KINDS = np.frombuffer(_KIND, np.uint8)
 
 
-def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of Latin-1 texts (no nulls) in lower case, and how many each text has. Spaces end a word, and so does a change
-    between letters, numbers and other signs; each number is a word, and so are 's 't 're 've 'm 'll 'd where no other
-    sign stands before them."""
+def words(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Latin-1 texts (no nulls) in lower case, place and size of each word in them, and how many each text has. Spaces end a
+    word, and so does a change between letters, numbers and other signs; each number is a word, and so are 's 't 're 've
+    'm 'll 'd where no other sign stands before them."""
     bounds = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset :][: len(texts) + 1]
     raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(bounds[0]) : int(bounds[-1])].to_pybytes()
     bounds = bounds - bounds[0]
@@ -79,12 +81,9 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         start[after] |= kind[after] == _LETTER
     at = np.flatnonzero(start)
     size = np.diff(at, append=len(low))
-    word = np.flatnonzero(kind.take(at))  # not _SPACE
-    at, ends = at.take(word), np.r_[0, np.cumsum(size.take(word))]
-    wide = ends[-1] >= 1 << 31
-    ends = pa.py_buffer(ends if wide else ends.astype(np.int32))
-    cut = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(at), [None, ends, pa.py_buffer(raw.translate(None, _SPACES))])
-    return cut, np.diff(np.searchsorted(at, bounds))
+    word = np.flatnonzero(kind.take(at) != _SPACE)
+    at = at.take(word)
+    return raw, at, size.take(word), np.diff(np.searchsorted(at, bounds))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,12 +118,13 @@ class Tokens:
 
     def _reset(self) -> None:
         """Ids of the k-th word are flat[start[k] : start[k] + size[k]]; used: parts of texts that had it."""
-        self.index: dict[str, int] = {}
+        self.index = Words()
         self.flat, self.end = np.zeros(1 << 16, self.kind if self.by_word else np.uint32), 0
         self.start, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        at, n = len(self.index), len(words)
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Ids of the last words of the index."""
+        at, n = len(self.index) - len(size), len(size)
         while at + n > len(self.size):
             self.start, self.size, self.used = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.used))
         while self.end + len(ids) > len(self.flat):
@@ -133,7 +133,6 @@ class Tokens:
         self.size[at : at + n] = size
         self.start[at : at + n] = self.end + np.cumsum(size) - size
         self.end += len(ids)
-        self.index.update(zip(words, range(at, at + n), strict=True))
 
     def _ids(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words k in a row, and how many each has."""
@@ -143,22 +142,27 @@ class Tokens:
 
     def _forget(self) -> None:
         """Keeps the words that came in more than one part, unless those are too many as well."""
-        names, keep = list(self.index), np.flatnonzero(self.used > 1)
-        ids, n = self._ids(keep)
+        keep = np.flatnonzero(self.used > 1)
+        keep = keep[: len(keep) if len(keep) <= KNOWN // 2 else 0]
+        (ids, n), index = self._ids(keep), self.index.only(keep)
         self._reset()
-        if len(keep) <= KNOWN // 2:
-            self._add([names[k] for k in keep], ids, n)
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, encoded by the library's model in texts of a hundred."""
-        parts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
-        coded = self.words_only.encode_batch_fast([x.encode().decode("latin-1").translate(_BYTES) for x in parts], add_special_tokens=False)
+        self.index = index
+        self._add(ids, n)
+
+    def _learn(self, raw: bytes, at: np.ndarray, size: np.ndarray) -> None:
+        """Ids of new words, the last of the index, encoded by the library's model in texts of a hundred."""
+        stop = np.cumsum(size + 1)  # a space after each
+        cut = np.frombuffer(raw + b" ", np.uint8).take(np.repeat(at - (stop - size - 1), size + 1) + np.arange(stop[-1]))
+        cut[stop - 1] = 32
+        cut = cut.tobytes()
+        letters, bounds = cut.decode("latin-1").translate(_BYTES), [0, *stop[99:-1:100].tolist(), int(stop[-1])]
+        coded = self.words_only.encode_batch_fast([letters[a : b - 1] for a, b in pairwise(bounds)], add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):  # not cut as expected: one by one
-            each = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        if len(ends) != len(size) or ends[-1] != len(ids):  # not cut as expected: one by one
+            each = [x.ids for x in self.tokenizer.encode_batch(cut.decode().split(" ")[:-1], add_special_tokens=False)]
             ids, ends = np.array([i for x in each for i in x], dtype=np.uint32), np.cumsum([len(x) for x in each])
-        self._add(words, ids, np.diff(ends, prepend=0))
+        self._add(ids, np.diff(ends, prepend=0))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of whole texts (no nulls) with the end id."""
@@ -177,19 +181,14 @@ class Tokens:
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.index) > KNOWN:
             self._forget()
-        cut, each = words(texts)
-        if not len(cut):
+        raw, at, size, each = words(texts)
+        if not len(at):
             return [np.full(1, END, self.kind) for _ in range(len(texts))]
-        coded = cut.dictionary_encode()
-        one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary.cast(pa.large_string()))
-        names = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # words hold no space
-        at = np.array([-1 if k is None else k for k in map(self.index.get, names)], np.int64)
-        new = np.flatnonzero(at < 0)
+        number, new = self.index.numbers(raw, at, size)
         if len(new):
-            at[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self._learn([names[k] for k in new])
-        self.used[at] += 1
-        ids, n = self._ids(at[coded.indices.to_numpy()])
+            self._learn(raw, at[new], size[new])
+        self.used[number] += 1
+        ids, n = self._ids(number)
         bounds = np.r_[0, np.cumsum(n, dtype=np.int64)][np.r_[0, np.cumsum(each)]]
         return [np.append(ids[a:b], ids.dtype.type(END)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
