@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -336,3 +337,91 @@ def test_batches_are_bounded_in_bytes(spark):
     d = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     n = [r["n"] for r in arrow_map(d, sizes, "n long").collect()]
     assert sum(n) == 60 and max(n) <= 18
+
+
+# --- language model: words looked up by their bytes, steps that compute a class once
+def test_words_are_cut_and_looked_up_as_python_does():
+    rng = random.Random(11)
+    signs = ["a", "b", "B", "é", "É", "\0", " ", "\t", "\x0b", "\x1c", " ", "\r\n", "xxxxxxxx", "yyyyyyyy"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))).encode() for _ in range(300)] + [b"", b" ", b"a", b"a\0", b"\0a"]
+    split = [t.lower().split() for t in texts]
+    words = sorted({w for ws in split[::2] for w in ws})
+    rng.shuffle(words)
+    top = 5
+    classes = np.array([i if i < top else top + lm.bucket(w) for i, w in enumerate(words)])
+    scorer = lm.Scorer(None, b" ".join(words), classes, np.zeros(len(words)), np.zeros(len(words)), top, 0.0, 0.0, np.zeros(lm.BUCKETS), 1)
+    none = lm.Scorer(None, b"", classes[:0], np.zeros(0), np.zeros(0), 0, 0.0, 0.0, np.zeros(lm.BUCKETS), 1)
+    place = {w: i for i, w in enumerate(words)}
+    for got, known, n in ((scorer.placed(texts), place, top), (none.placed(texts), {}, 0), (scorer.placed([b""]), place, top)):
+        ws = split if len(got.ends) > 1 else [[]]
+        flat = [w for x in ws for w in x]
+        assert [got.word(i) for i in range(len(got.at))] == flat
+        assert got.k.tolist() == [known.get(w, -1) for w in flat]
+        assert got.c.tolist() == [known[w] if known.get(w, n) < n else n + lm.bucket(w) for w in flat]
+        end = n + lm.BUCKETS
+        assert got.with_ends(end).tolist() == [c for a, b in zip(got.begin, got.ends, strict=True) for c in [*got.c[a:b].tolist(), end]]
+
+
+def test_word_counts_of_odd_texts(spark, monkeypatch):
+    texts = ["a A b\0 b", None, "", "a\0 \0 é É", "abcdefgh ABCDEFGH\0 abcdefghi abcdefghabcdefgh abcdefghabcdefghi"] * 3
+    want = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for flush in (lm._FLUSH, 1):
+        monkeypatch.setattr(lm, "_FLUSH", flush)
+        assert {bytes(r["word"]): r["c"] for r in lm.word_counts(df).collect()} == want
+
+
+def test_steps_of_training_against_one_token_and_one_draw_at_a_time():
+    """The gradients by definition: each token's, and each draw's of the noise, repeated ones too."""
+    rng = np.random.default_rng(6)
+    counts = np.array([9.0, 5, 3, 2, 2, 1, 1, 4])
+    texts = [np.append(rng.integers(0, 7, n), 7) for n in (30, 0, 1, 12)]
+    weights, slow = lm.begun(counts), lm.begun(counts)
+    params, squares = ([x.astype(np.float64) for x in y] for y in (slow.params, slow.squares))
+    noise = lm.noise_law(counts)
+    draw, again = np.random.default_rng(2), np.random.default_rng(2)
+    for _ in range(3):
+        lm.trained(weights, texts, counts, 0.05, draw)
+        tokens = [(t[i], t[i - 1] if i else 8, t[i - 2] if i > 1 else 8) for t in texts for i in range(len(t))]
+        again.permutation(len(tokens))
+        z = np.minimum(np.searchsorted(np.cumsum(noise), again.random(lm.NOISE)), 7)
+        r, q, b, c1, c2 = params
+        grads = [np.zeros_like(p) for p in params]
+        for x, one, two in tokens:
+            h = r[one] @ c1 + r[two] @ c2
+            g_h = np.zeros(lm.DIM)
+            for k, label in [(x, 1), *((k, 0) for k in z)]:
+                g = (1 / (1 + np.exp(-(q[k] @ h + b[k] - np.log(lm.NOISE * noise[k])))) - label) / len(tokens)
+                grads[1][k] += g * h
+                grads[2][k] += g
+                g_h += g * q[k]
+            grads[0][one] += c1 @ g_h
+            grads[0][two] += c2 @ g_h
+            grads[3] += np.outer(r[one], g_h)
+            grads[4] += np.outer(r[two], g_h)
+        for p, s, g in zip(params, squares, grads, strict=True):
+            s += g * g
+            p -= 0.05 * g / np.sqrt(s)
+    for got, want in zip(weights.params, params, strict=True):
+        assert np.allclose(got, want, atol=2e-4)
+
+
+def test_looking_up_words_takes_less_than_half_of_a_dict():
+    """Before: split() and a dict of Python's strings, most of the time of reading and scoring a text."""
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 11))).encode() for _ in range(120_000)})
+    text = b" ".join(rng.choices(words, k=400_000))
+    n = len(words)
+    scorer = lm.Scorer(None, b" ".join(words), np.arange(n) % 1000, np.zeros(n), np.zeros(n), 1000, 0.0, 0.0, np.zeros(lm.BUCKETS), 1)
+    place = {w: i for i, w in enumerate(words)}
+
+    def taken(f):
+        f()
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            f()
+            times.append(time.process_time() - t)
+        return min(times)
+
+    assert taken(lambda: scorer.placed([text])) < 0.5 * taken(lambda: [place.get(w) for w in text.lower().split()])

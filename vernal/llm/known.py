@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Masks of the first 0 to 8 bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words that are looked up at a time: their arrays stay in a core's cache, and memory is bounded.
 AT_A_TIME = 1 << 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -18,6 +22,14 @@ def _packed(eights: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((eights.take(i) >> shift) | high) & _FIRST.take(size)
 
 
+def cut(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words are and their sizes, as bytes.split() has them."""
+    space = np.ones(len(raw) + 2, bool)
+    _SPACE.take(np.frombuffer(raw, np.uint8), out=space[1:-1], mode="clip")
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2] - edges[::2]
+
+
 class _Table:
     """Open addressing over keys of one or two numbers, the first never 0."""
 
@@ -82,9 +94,18 @@ def _distinct(keys: list[np.ndarray]) -> np.ndarray:
     return order[differs]
 
 
+def _apart(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words can't be keys: longer ones, and those with a zero byte."""
+    out = size > 16
+    if b"\0" in raw:
+        zeros = np.r_[0, np.cumsum(np.frombuffer(raw, np.uint8) == 0)]
+        out |= zeros.take(at + size) > zeros.take(at)
+    return out
+
+
 class Words:
-    """Numbers 0, 1, ... of words without zero bytes. Words of up to 8 bytes are keys of one number, of up to 16 of two, so
-    that equal keys are equal words; longer ones are in a dict."""
+    """Numbers 0, 1, ... of words. Words of up to 8 bytes are keys of one number, of up to 16 of two, so that equal keys are
+    equal words; longer ones and those with a zero byte are in a dict."""
 
     def __init__(self) -> None:
         self.n, self.tables, self.longer = 0, (_Table(1), _Table(2)), {}
@@ -94,20 +115,36 @@ class Words:
 
     def numbers(self, raw: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words raw[at : at + size]; and, by number, where the words are (once each) that got one now."""
-        eights = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8")
+        eights, apart = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8"), _apart(raw, at, size)
         out, new = np.zeros(len(at), np.int64), [np.zeros(0, np.int64)]
         for i in range(0, len(at), AT_A_TIME):
             part = slice(i, i + AT_A_TIME)
-            out[part], found = self._numbers(raw, eights, at[part], size[part])
+            out[part], found = self._numbers(raw, eights, at[part], size[part], apart[part])
             new += [i + x for x in found]
         return out, np.concatenate(new)
 
-    def _numbers(self, raw: bytes, eights: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        out, new = np.zeros(len(at), np.int64), []
+    def find(self, raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the words raw[at : at + size]; -1 for those that have none."""
+        eights, apart = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8"), _apart(raw, at, size)
+        out = np.full(len(at), -1, np.int32)
+        for i in range(0, len(at), AT_A_TIME):
+            part = slice(i, i + AT_A_TIME)
+            for table, who, keys in self._keys(eights, at[part], size[part], apart[part]):
+                out[part][who] = table.find(keys)
+        for i in np.flatnonzero(apart).tolist():
+            out[i] = self.longer.get(raw[at[i] : at[i] + size[i]], -1)
+        return out
+
+    def _keys(self, eights: np.ndarray, at: np.ndarray, size: np.ndarray, apart: np.ndarray) -> Iterator[tuple[_Table, np.ndarray, list[np.ndarray]]]:
+        """By table: which words are in it, and their keys."""
         short = size <= 8
-        for table, who in zip(self.tables, (np.flatnonzero(short), np.flatnonzero(~short & (size <= 16))), strict=True):
+        for table, who in zip(self.tables, (np.flatnonzero(short & ~apart), np.flatnonzero(~short & ~apart)), strict=True):
             start, length = at.take(who), size.take(who)
-            keys = [_packed(eights, start + 8 * j, np.clip(length - 8 * j, 0, 8)) for j in range(len(table.keys))]
+            yield table, who, [_packed(eights, start + 8 * j, np.clip(length - 8 * j, 0, 8)) for j in range(len(table.keys))]
+
+    def _numbers(self, raw: bytes, eights: np.ndarray, at: np.ndarray, size: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        out, new = np.zeros(len(at), np.int64), []
+        for table, who, keys in self._keys(eights, at, size, apart):
             found = table.find(keys)
             miss = np.flatnonzero(found < 0)
             if len(miss):
@@ -118,7 +155,7 @@ class Words:
                 self.n += len(one)
                 new.append(who.take(miss.take(one)))
             out[who] = found
-        for i in np.flatnonzero(size > 16).tolist():
+        for i in np.flatnonzero(apart).tolist():
             word = raw[at[i] : at[i] + size[i]]
             if word not in self.longer:
                 self.longer[word] = self.n

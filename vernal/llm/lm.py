@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vernal.llm.common import Hidden, arrow_map, as_bytes, remainder, whole_text
+from vernal.llm.known import Words, cut
 from vernal.sources.scratch import written
 
 TOP, BUCKETS, HOT = 1_791, 256, 200_000
@@ -50,24 +51,39 @@ _FLUSH = 300_000
 _PIECE = 1 << 20
 
 
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of _PIECE bytes or a little more at a time; a longer one is whole."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= _PIECE or i + 1 == len(texts):
+            yield texts[at : i + 1]
+            at, held = i + 1, 0
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) over all texts: counted in each task first, then summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        known, words, counts = Words(), [], np.zeros(0, np.int64)
 
-        def give() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-            held.clear()
-            return out
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], names=["word", "c"])
 
         for b in batches:
-            for t in as_bytes(b.column(0)):
-                held.update(t.lower().split())
-                if len(held) >= _FLUSH:
-                    yield give()
-        if held:
-            yield give()
+            for part in pieces(as_bytes(b.column(0))):
+                raw = b" ".join(part).lower()
+                at, size = cut(raw)
+                number, new = known.numbers(raw, at, size)
+                words += [raw[i:j] for i, j in zip(at[new].tolist(), (at[new] + size[new]).tolist(), strict=True)]
+                more = np.bincount(number, minlength=len(known))
+                more[: len(counts)] += counts
+                counts = more
+                if len(known) >= _FLUSH:
+                    yield given()
+                    known, words, counts = Words(), [], np.zeros(0, np.int64)
+        if words:
+            yield given()
 
     return arrow_map(docs.select(whole_text(text).alias("text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -153,7 +169,7 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
         two.append(x[:-2])
     if not w:
         return 0
-    w, one, two = np.concatenate(w), np.concatenate(one), np.concatenate(two)
+    met = np.stack([np.concatenate(w), np.concatenate(one), np.concatenate(two)], axis=1)
     noise = noise_law(counts)
     cut = np.cumsum(noise)
     log_noise = np.log(NOISE * noise).astype(np.float32)
@@ -165,33 +181,39 @@ def trained(weights: Weights, texts: list[np.ndarray], counts: np.ndarray, rate:
         g /= np.sqrt(s)
         p -= g
 
-    order = rng.permutation(len(w))
+    order = rng.permutation(len(met))
     for at in range(0, len(order), BATCH):
-        i = order[at : at + BATCH]
-        x, y1, y2 = w[i], one[i], two[i]
-        r1, r2 = r[y1], r[y2]
-        h = r1 @ c1 + r2 @ c2
-        z = np.minimum(np.searchsorted(cut, rng.random(NOISE)), classes - 1)  # shared by the batch
-        true = np.einsum("ij,ij->i", h, q[x]) + b[x] - log_noise[x]
-        g_true = (1 / (1 + np.exp(-true)) - 1) / len(i)
-        g_false = h @ -q[z].T  # 1 / (1 + exp(-score)) / len(i), in place
-        g_false -= b[z] - log_noise[z]
+        x, y1, y2 = met.take(order[at : at + BATCH], axis=0).T.astype(np.int64)
+        h = (r @ c1).take(y1, axis=0)
+        h += (r @ c2).take(y2, axis=0)
+        # the noise is shared by the batch; a class that is drawn some times is computed once
+        times = np.bincount(np.minimum(np.searchsorted(cut, rng.random(NOISE)), classes - 1), minlength=classes)
+        z = np.flatnonzero(times)
+        q_x, q_z = q.take(x, axis=0), q.take(z, axis=0)
+        true = np.einsum("ij,ij->i", h, q_x) + (b - log_noise).take(x)
+        g_true = (1 / (1 + np.exp(-true)) - 1) / len(x)
+        g_false = h @ -q_z.T  # times / (1 + exp(-score)) / len(x), in place
+        g_false -= (b - log_noise).take(z)
         np.exp(g_false, out=g_false)
         g_false += 1
-        g_false *= len(i)
+        g_false *= (len(x) / times[z]).astype(np.float32)
         np.reciprocal(g_false, out=g_false)
-        g_h = g_true[:, None] * q[x] + g_false @ q[z]
-        g_q, g_b = np.zeros_like(q), np.zeros_like(b)
-        _add_rows(g_q, x, g_true[:, None] * h)
-        np.add.at(g_q, z, g_false.T @ h)
-        g_b += np.bincount(x, weights=g_true, minlength=classes).astype(np.float32)
-        np.add.at(g_b, z, g_false.sum(axis=0))
-        g_r = np.zeros_like(r)
-        _add_rows(g_r, y1, g_h @ c1.T)
-        _add_rows(g_r, y2, g_h @ c2.T)
-        for p, s, g in zip(weights.params, weights.squares, (g_r, g_q, g_b, r1.T @ g_h, r2.T @ g_h), strict=True):
-            step(p, s, g.astype(np.float32, copy=False))
-    return len(w)
+        q_x *= g_true[:, None]
+        g_h = g_false @ q_z
+        g_h += q_x
+        g_q, g_b = np.zeros_like(q), np.bincount(x, weights=g_true, minlength=classes).astype(np.float32)
+        _add_rows(g_q, x, h * g_true[:, None])
+        g_q[z] += g_false.T @ h
+        g_b[z] += g_false.sum(axis=0)
+        # sums by class first: what follows is then by class, not by token
+        g_1, g_2 = np.zeros_like(r), np.zeros_like(r)
+        _add_rows(g_1, y1, g_h)
+        _add_rows(g_2, y2, g_h)
+        g_r = g_1 @ c1.T
+        g_r += g_2 @ c2.T
+        for p, s, g in zip(weights.params, weights.squares, (g_r, g_q, g_b, r.T @ g_1, r.T @ g_2), strict=True):
+            step(p, s, g)
+    return len(met)
 
 
 def train(texts: list[np.ndarray], classes: int, seed: int = 1) -> Model:
@@ -228,14 +250,15 @@ def train_all(docs: DataFrame, scorer: Scorer, counts: np.ndarray, text: str = "
             rng = np.random.default_rng((epoch, TaskContext.get().partitionId()))
             end, done, held, texts = len(counts) - 1, 0, 0, []
             for b in batches:
-                for t in as_bytes(b.column(0)):
-                    c = s.classes(t.lower().split())[1]
-                    texts.append(np.full(len(c) + 1, end, dtype=np.int32))
-                    texts[-1][:-1] = c
-                    held += len(texts[-1])
-                    if held >= HELD:
-                        done += trained(own, texts, counts, rate_of(epoch), rng)
-                        held, texts = 0, []
+                for part in pieces(as_bytes(b.column(0))):
+                    p = s.placed(part)
+                    x = p.with_ends(end).astype(np.int32)
+                    for t in np.split(x, p.ends[:-1] + np.arange(1, len(part))):
+                        texts.append(t)
+                        held += len(t)
+                        if held >= HELD:
+                            done += trained(own, texts, counts, rate_of(epoch), rng)
+                            held, texts = 0, []
             done += trained(own, texts, counts, rate_of(epoch), rng)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
@@ -250,11 +273,39 @@ def train_all(docs: DataFrame, scorer: Scorer, counts: np.ndarray, text: str = "
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """out[at] += rows, with repeats summed."""
-    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")  # radix sort
-    a = at[order]
-    begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-    out[a[begin]] += np.add.reduceat(rows[order], begin, axis=0)
+    """out[at] += rows, with repeats summed; two numbers at a time, as one complex one."""
+    half = out.shape[1] // 2
+    np.add.at(out.view(np.complex64).reshape(-1), (at[:, None] * half + np.arange(half)).ravel(), np.ascontiguousarray(rows, np.float32).view(np.complex64).ravel())
+
+
+@cache
+def _buckets() -> np.ndarray:
+    """The bucket of a word by its last two bytes, and (last 256) by its only one."""
+    return np.array([bucket(bytes((i >> 8, i & 255))) for i in range(1 << 16)] + [bucket(bytes((i,))) for i in range(256)], np.int16)
+
+
+@dataclass
+class Placed:
+    """The words of some texts: raw[at : at + size]; those of text i are begin[i] to ends[i]."""
+
+    raw: bytes
+    at: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
+    ends: np.ndarray
+    k: np.ndarray  # place among the frequent words (-1: not frequent)
+    c: np.ndarray  # class
+
+    def word(self, i: int) -> bytes:
+        return self.raw[self.at[i] : self.at[i] + self.size[i]]
+
+    def with_ends(self, end: int) -> np.ndarray:
+        """Classes, and the end after each text."""
+        out = np.full(len(self.c) + len(self.ends), end, dtype=np.int64)
+        inner = np.ones(len(out), dtype=bool)
+        inner[self.ends + np.arange(len(self.ends))] = False
+        out[inner] = self.c
+        return out
 
 
 @dataclass
@@ -273,44 +324,45 @@ class Scorer:
     known_end: int
 
     @cached_property
-    def hot(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.split(b" "))} if self.words else {}
+    def hot(self) -> tuple[Words, np.ndarray]:
+        """The frequent words, and the place of each by its number (the last, -1, of those without)."""
+        known, (at, size) = Words(), cut(self.words)
+        place = np.full(len(at) + 1, -1, np.int32)
+        place[known.numbers(self.words, at, size)[0]] = np.arange(len(at))
+        return known, place
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "hot"}  # each worker makes it once
 
-    def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place (-1: not frequent) and class of each word."""
-        at = list(map(self.hot.get, words))
-        k = np.array([-1 if i is None else i for i in at], dtype=np.int64) if None in at else np.array(at, dtype=np.int64)
-        c = self.hot_class[k] if len(self.hot) else np.zeros(len(k), np.int64)
+    def placed(self, texts: list[bytes]) -> Placed:
+        """All words of the texts, looked up."""
+        raw = b" ".join(texts).lower()
+        at, size = cut(raw)
+        known, place = self.hot
+        k = place.take(known.find(raw, at, size))
+        c = self.hot_class.take(k) if len(self.hot_class) else np.zeros(len(k), np.int64)
         rare = np.flatnonzero(k < 0)
-        c[rare] = [self.top + bucket(words[i]) for i in rare]
-        return k, c
+        letters, last = np.frombuffer(raw, np.uint8), at[rare] + size[rare] - 1
+        final = letters.take(last).astype(np.int64)
+        c[rare] = self.top + _buckets().take(np.where(size[rare] > 1, letters.take(last - 1, mode="wrap") * np.int64(256) + final, 65_536 + final))
+        stop = np.cumsum([len(t) + 1 for t in texts])
+        ends = np.searchsorted(at, stop)
+        return Placed(raw, at, size, np.r_[0, ends[:-1]], ends, k, c)
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """n_tokens, known frequent tokens, base and model score without the rare words' log10(c + 0.1), and the rare words."""
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += t.lower().split()
-            ends.append(len(words))
-        ends = np.array(ends)
-        begin = np.r_[0, ends[:-1]]
-        k, c = self.classes(words)
+        p = self.placed(texts)
+        begin, ends, k, c = p.begin, p.ends, p.k, p.c
         rare = k < 0
         base, share = np.full(len(k), -self.log_tokens), np.zeros(len(k))
-        if len(self.hot):
+        if len(self.hot_class):
             base[~rare], share[~rare] = self.hot_base[k[~rare]], self.hot_share[k[~rare]]
         share[rare] = -self.log_bucket[c[rare] - self.top]
         # classes with the end after each text, and the two before
         n = ends - begin
         size = n + 1
-        x = np.full(int(size.sum()), self.top + BUCKETS, dtype=np.int64)
+        x = p.with_ends(self.top + BUCKETS)
         last = np.cumsum(size) - 1
-        inner = np.ones(len(x), dtype=bool)
-        inner[last] = False
-        x[inner] = c
         start = self.top + BUCKETS + 1
         one, two = np.r_[start, x[:-1]], np.r_[start, start, x[:-2]]
         first = last - n
@@ -320,7 +372,10 @@ class Scorer:
         add = lambda v, b, e: (t := np.r_[0.0, np.cumsum(v)])[e] - t[b]
         model = add(per, first, last + 1) + add(share, begin, ends)
         known = add(~rare, begin, ends).astype(np.int64) + self.known_end
-        unknown = [[words[j] for j in range(a, b) if rare[j]] if r else [] for a, b, r in zip(begin, ends, add(rare, begin, ends) > 0, strict=True)]
+        met = np.flatnonzero(rare)
+        edge = np.searchsorted(met, np.r_[0, ends]).tolist()
+        met = [p.word(i) for i in met.tolist()]
+        unknown = [met[a:b] for a, b in pairwise(edge)]
         return size, known, add(base, begin, ends) + self.end_base, model, unknown
 
 
@@ -366,16 +421,13 @@ def score(docs: DataFrame, scorer: Scorer, vocabulary: DataFrame, text: str = "t
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = as_bytes(b.column(b.schema.get_field_index("text")))
-            at, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held < _PIECE and i + 1 < len(texts):
-                    continue
-                size, known, base, model, rare = s.score(texts[at : i + 1])
-                n = i + 1 - at
+            at = 0
+            for part in pieces(texts):
+                size, known, base, model, rare = s.score(part)
+                n = len(part)
                 kept = [b.column(b.schema.get_field_index(c)).slice(at, n) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(uid, uid + n)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))], names=schema.names)
-                uid, at, held = uid + n, i + 1, 0
+                uid, at = uid + n, at + n
 
     parts = written(arrow_map(d, run, schema), "scores")  # row numbers hold from here on
     words = parts.where("size(rare) > 0").select("uid", F.explode("rare").alias("word"))
